@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import packing, splitting
+from stratamem.llm import neighbours, packing, splitting
 from stratamem.storage import table
 
 
@@ -19,6 +19,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.most_similar(table(spark, d, "chunk_embeddings"), "chunk_id", "chunk_embedding")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(p2_neighbours(spark, d), 0.985).withColumnsRenamed({"a": "chunk_a", "b": "chunk_b"})
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.recall(table(spark, d, "chunk_embeddings"), "chunk_id", "chunk_embedding")
+
+
 def p4_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "chunks"))
 
