@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import neighbours, packing, splitting
+from stratamem.llm import clusters, neighbours, packing, splitting
 from stratamem.storage import table
 
 
@@ -39,6 +39,14 @@ def p4_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "chunks")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_groups(clusters.levels(table(spark, d, "chunk_embeddings"), table(spark, d, "super_embeddings")))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(clusters.levels(table(spark, d, "chunk_embeddings"), table(spark, d, "super_embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
