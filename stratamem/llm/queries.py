@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import clusters, neighbours, packing, splitting
+from stratamem.llm import clusters, near_duplicates, neighbours, packing, splitting
 from stratamem.storage import table
 
 
@@ -31,6 +31,14 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.recall(table(spark, d, "chunk_embeddings"), "chunk_id", "chunk_embedding")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.found_pairs(table(spark, d, "corpus"), "rec_id", "body").withColumnsRenamed({"a": "rec_a", "b": "rec_b"})
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, d, "corpus"), "rec_id", "body")
+
+
 def p4_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "chunks"))
 
