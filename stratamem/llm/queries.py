@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import clusters, near_duplicates, neighbours, packing, splitting
+from stratamem.llm import clusters, mixing, near_duplicates, neighbours, packing, splitting
 from stratamem.storage import table
 
 
@@ -55,6 +55,14 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(clusters.levels(table(spark, d, "chunk_embeddings"), table(spark, d, "super_embeddings")))
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
