@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import clusters, mixing, near_duplicates, neighbours, packing, splitting
+from stratamem.llm import clusters, leakage, mixing, near_duplicates, neighbours, packing, splitting
 from stratamem.storage import table
 
 
@@ -55,6 +55,18 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(clusters.levels(table(spark, d, "chunk_embeddings"), table(spark, d, "super_embeddings")))
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where("leak = 'verbatim'").select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.item_report(p7_leaks(spark, d), table(spark, d, "eval_items"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
