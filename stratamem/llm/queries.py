@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import clusters, leakage, mixing, near_duplicates, neighbours, packing, splitting
+from stratamem.llm import clusters, encodings, leakage, mixing, near_duplicates, neighbours, packing, splitting
 from stratamem.storage import table
 
 
@@ -75,6 +75,18 @@ def p8_copies(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repaired(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_repaired(spark, d).select("doc_id")
+
+
+def p9_letters(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.symbol_letters(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
