@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.llm import clusters, encodings, leakage, mixing, near_duplicates, neighbours, packing, splitting
+from stratamem.llm import clusters, encodings, leakage, mixing, near_duplicates, neighbours, packing, splitting, truncation
 from stratamem.storage import table
 
 
@@ -47,6 +47,22 @@ def p4_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "chunks")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "chunk_metadata"))[0].select("chunk_id")
+
+
+def p5_cut(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "chunk_metadata"))[0]
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "chunk_metadata"))[1]
+
+
+def p5_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "chunk_metadata"))[2]
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.similarity_groups(clusters.levels(table(spark, d, "chunk_embeddings"), table(spark, d, "super_embeddings")))
 
