@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -38,6 +39,8 @@ NAMES = ("none", *(f"utf-8 read as {w}" for w in UTF8_READ_AS), *(f"{t} read as
 PRIOR, PRIOR_TOKENS, NATS = 1e-3, 20.0, 3.0
 #: Rounds over the vocabulary, and within a document whose tokens share their swaps; what the source's rates weigh there in tokens.
 ROUNDS, DOCUMENT_ROUNDS, DOCUMENT_PRIOR = 3, 6, 3.0
+#: Scores kept by a worker process, by run.
+SCORED: dict[str, tuple] = {}
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 LOST = "�"
 
@@ -167,8 +170,9 @@ class Language:
 
     def score(self, token: str) -> float:
         folded = token.lower()
-        out = sum(map(self.step, zip("\x02" + folded, folded + "\x03", strict=True)))
-        if folded != token and token != token.upper():
+        known, step = self.known, self.step
+        out = sum([known[p] if p in known else step(p) for p in zip("\x02" + folded, folded + "\x03", strict=True)])
+        if folded != token and not token.isupper():
             out -= 3.0 * sum(1 for a, b in zip(token, token[1:], strict=False) if a.islower() and b.isupper())
         return out
 
@@ -218,12 +222,12 @@ def weighed(options: list[tuple[int, str, float]], rates: dict[int, float]) -> l
     return [(k, t, x / total) for (k, t, _), x in zip(options, odds, strict=True)]
 
 
-def bigrams_of(rows: Iterator[tuple[str, float]]) -> Counter:
-    out: Counter = Counter()
+def bigrams_of(rows: Iterator[tuple[str, float]]) -> dict[tuple[str, str], float]:
+    out: dict[tuple[str, str], float] = {}
     for token, n in rows:
         folded = token.lower()
         for pair in zip("\x02" + folded, folded + "\x03", strict=True):
-            out[pair] += n
+            out[pair] = out.get(pair, 0.0) + n
     return out
 
 
@@ -271,7 +275,7 @@ def learn(vocabulary: DataFrame) -> tuple[dict, dict[str, dict[int, float]]]:
             model = Language(grams)
             last, options = None, []
             for f in frames:
-                change: Counter = Counter()
+                change: dict[tuple[str, str], float] = {}
                 use: Counter = Counter()
                 for source, token, n in zip(f.source, f.token, f.n, strict=True):
                     if LOST in token:
@@ -282,8 +286,9 @@ def learn(vocabulary: DataFrame) -> tuple[dict, dict[str, dict[int, float]]]:
                         if p > 1e-6:
                             use[source, kind] += p * n
                             if kind:
-                                change.update({k: v * p for k, v in bigrams_of([(letters, n)]).items()})
-                                change.subtract({k: v * p for k, v in bigrams_of([(token, n)]).items()})
+                                for text, weight in ((letters, n * p), (token, -n * p)):
+                                    for pair, v in bigrams_of([(text, weight)]).items():
+                                        change[pair] = change.get(pair, 0.0) + v
                 rows = [("bigram", a, b, 0, n) for (a, b), n in change.items() if n] + [("use", s, "", k, n) for (s, k), n in use.items()]
                 yield pd.DataFrame(rows, columns=["what", "a", "b", "kind", "n"])
 
@@ -321,10 +326,15 @@ def repaired(documents: DataFrame) -> DataFrame:
     bigrams, rates = learn(vocabulary)
     shared = spark.sparkContext.broadcast((bigrams, rates))
 
+    run_id = uuid.uuid4().hex
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, by_source = shared.value
-        model = Language(grams)
-        known: dict[str, list[tuple[int, str, float]]] = {}
+        # what a worker has scored serves its later tasks of the same run
+        if run_id not in SCORED:
+            SCORED.clear()
+            SCORED[run_id] = (Language(grams), {}, defaultdict(dict))
+        model, known, doubts = SCORED[run_id]
 
         def options_of(token: str) -> list[tuple[int, str, float]]:
             options = known.get(token)
@@ -336,11 +346,22 @@ def repaired(documents: DataFrame) -> DataFrame:
 
         def verdicts(source: str, use: Counter) -> dict[str, tuple[int, str]]:
             """The garbled ones of a document's tokens; its own rates start from those of its source."""
-            open_ = [(t, n, options_of(t)) for t, n in use.items()]
-            open_ = [x for x in open_ if len(x[2]) > 1]
             base = by_source.get(source, {})
+            first = doubts[source]
+            doubt = 0.0
+            for token, n in use.items():
+                p = first.get(token)
+                if p is None:
+                    if len(first) > 300_000:
+                        first.clear()
+                    options = options_of(token)
+                    p = first[token] = sum(p for k, _, p in weighed(options, base) if k) if len(options) > 1 else 0.0
+                doubt += p * n
+            if doubt < 0.005:
+                return {}
+            open_ = [(t, n, options) for t, n in use.items() if len(options := options_of(t)) > 1]
             rates = base
-            for turn in range(DOCUMENT_ROUNDS):
+            for _ in range(DOCUMENT_ROUNDS):
                 made: Counter = Counter()
                 could: Counter = Counter()
                 for _, n, options in open_:
@@ -348,8 +369,6 @@ def repaired(documents: DataFrame) -> DataFrame:
                         if kind:
                             made[kind] += p * n
                             could[kind] += n
-                if turn == 0 and sum(made.values()) < 0.005:
-                    return {}
                 rates = {k: (DOCUMENT_PRIOR * base.get(k, PRIOR) + made[k]) / (DOCUMENT_PRIOR + could[k]) for k in could}
             out = {}
             for token, _, options in open_:
