@@ -330,11 +330,13 @@ def repaired(documents: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, by_source = shared.value
-        # what a worker has scored serves its later tasks of the same run
-        if run_id not in SCORED:
-            SCORED.clear()
-            SCORED[run_id] = (Language(grams), {}, defaultdict(dict))
-        model, known, doubts = SCORED[run_id]
+        # what a worker has scored serves its later tasks of the same run; the module's own dictionary, not a pickled copy
+        from stratamem.llm.encodings import SCORED as kept
+
+        if run_id not in kept:
+            kept.clear()
+            kept[run_id] = (Language(grams), {}, defaultdict(dict))
+        model, known, doubts = kept[run_id]
 
         def options_of(token: str) -> list[tuple[int, str, float]]:
             options = known.get(token)
