@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratamem.llm.text import INNER, MIX, WORD, folded, mixed, shingles, word_hashes
+from stratamem.llm.text import INNER, MIX, WORD, Lexicon, folded, mixed, shingles
 from stratamem.storage import materialize
 
 WINDOW, RUN = 8, 12
@@ -45,20 +45,19 @@ def plain_words(text: str) -> list[str]:
     return WORD.findall(INNER.sub("", folded(text)).replace("_", " "))
 
 
-def canonical(tokens: list[str], vocabulary: dict[str, int]) -> np.ndarray:
-    """Class of each word: its own for plain words, 1 for names, 2 for numbers, 3 for units."""
-    get = vocabulary.get
-    return np.fromiter((get(w, 1) if not w[0].isdigit() else 2 for w in tokens), dtype=np.uint64, count=len(tokens))
+def classifier(vocabulary: dict[str, int]):
+    """Class of a word: its own for plain words, 1 for names, 2 for numbers, 3 for units."""
+    return lambda word: 2 if word[0].isdigit() else vocabulary.get(word, 1)
 
 
-def template_windows(classes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hash of each window: of its template, or of its words where too few are plain."""
+def template_windows(classes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window, of its template or, where too few words are plain, of its words; and that of its words."""
     exact = shingles(words, WINDOW)
     if not len(exact):
-        return exact
+        return exact, exact
     plain = np.cumsum(np.r_[0, classes > 3])
     loose = plain[WINDOW:] - plain[:-WINDOW] >= PLAIN
-    return np.where(loose, shingles(mixed(classes * MIX), WINDOW), exact)
+    return np.where(loose, shingles(mixed(classes * MIX), WINDOW), exact), exact
 
 
 def item_words(texts: list[str]) -> tuple[dict[str, int], list[list[str]]]:
@@ -94,12 +93,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     asked = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max(F.struct("question", "passage")).alias("t")).select("item_id", "t.*").orderBy("item_id").collect()
     texts = [(r.item_id, field, r[field]) for r in asked for field in ("question", "passage") if r[field]]
     vocabulary, split = item_words([t for _, _, t in texts])
-    rows, keys, cache = [], [np.zeros(0, np.uint64)], {}
+    rows, keys, lexicon = [], [np.zeros(0, np.uint64)], Lexicon(classifier(vocabulary))
     for (item, field, _), tokens in zip(texts, split, strict=True):
-        h = word_hashes(tokens, cache)
-        window = template_windows(canonical(tokens, vocabulary), h)
+        h, classes, _ = lexicon.look_up([tokens])
+        window, exact = template_windows(classes, h)
         keys.append(window)
-        exact = shingles(h, WINDOW)
         rows += [(item, field == "passage", i, int(window[i].view(np.int64)), int(exact[i].view(np.int64)), tokens[i : i + WINDOW]) for i in range(len(window))]
     known = spark.createDataFrame(rows, "item_id bigint, passage boolean, at int, window bigint, exact bigint, words array<string>")
     bits = max(FILTER_BITS, int(np.ceil(np.log2(16 * max(1, len(rows))))))
@@ -109,28 +107,24 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((vocabulary, table, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, marks, width = shared.value
-        seen: dict[str, int] = {}
+        known_classes, marks, width = shared.value
+        lexicon = Lexicon(classifier(known_classes))
         for batch in batches:
-            ids, at, window, exact, words = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = plain_words(text)
-                if len(tokens) < WINDOW:
-                    continue
-                h = word_hashes(tokens, seen)
-                keys = template_windows(canonical(tokens, classes), h)
+            for part in range(0, batch.num_rows, 2000):
+                docs = np.asarray(batch.column(0).slice(part, 2000))
+                texts = [plain_words(t) for t in batch.column(1).slice(part, 2000).to_pylist()]
+                h, classes, ends = lexicon.look_up(texts)
+                keys, exact = template_windows(classes, h)
                 place = keys >> np.uint64(64 - width)
                 hit = np.flatnonzero(marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                of = np.searchsorted(ends, hit, side="right")
+                inside = hit + WINDOW <= ends[of] if len(hit) else np.zeros(0, dtype=bool)
+                hit, of = hit[inside], of[inside]
                 if len(hit):
-                    literal = shingles(h, WINDOW)
-                    ids.append(np.full(len(hit), doc))
-                    at.append(hit)
-                    window.append(keys[hit])
-                    exact.append(literal[hit])
-                    words += [tokens[i : i + WINDOW] for i in hit]
-            if ids:
-                columns = [np.concatenate(ids).astype(np.int64), np.concatenate(at).astype(np.int32), np.concatenate(window).view(np.int64), np.concatenate(exact).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.list_(pa.string()))], ["doc_id", "at", "window", "exact", "words"])
+                    at = hit - np.r_[0, ends[:-1]][of]
+                    words = [texts[d][i : i + WINDOW] for d, i in zip(of, at, strict=True)]
+                    columns = [docs[of].astype(np.int64), at.astype(np.int32), keys[hit].view(np.int64), exact[hit].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.list_(pa.string()))], ["doc_id", "at", "window", "exact", "words"])
 
     read = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= RUN)).select(F.col("doc_id").cast("bigint"), "text")
     found = read.mapInArrow(scan, "doc_id bigint, at int, window bigint, exact bigint, words array<string>").distinct()
@@ -145,10 +139,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     placed = both.withColumn("diagonal", F.col("at") - F.col("item_at"))
     verbatim = runs(placed.where("same"), "run").groupBy("doc_id", "item_id").agg(F.max("run").alias("longest_run"))
-    # a slot is consistent if, along one diagonal, each item word has one counterpart and each counterpart one item word
-    slots = placed.where(~F.col("same")).select(*line, F.explode(F.arrays_zip("item_words", "words")).alias("s")).select(*line, "s.item_words", "s.words").distinct()
+    # only a diagonal whose template run is long enough can be a renamed copy, so only its slots are compared;
+    # a slot is consistent if each item word has one counterpart and each counterpart one item word
+    other = placed.join(verbatim.where(F.col("longest_run") >= RUN).select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    long = runs(other, "run").where(F.col("run") >= 2 * RUN).select(*line).distinct()
+    open_ = materialize(other.join(long, line, "left_semi"), "long-templates")
+    slots = open_.select(*line, F.explode(F.arrays_zip("item_words", "words")).alias("s")).select(*line, "s.item_words", "s.words").distinct()
     odd = slots.withColumn("n", F.count("*").over(Window.partitionBy(*line, "item_words"))).withColumn("m", F.count("*").over(Window.partitionBy(*line, "words"))).where("n > 1 or m > 1")
-    steady = placed.join(odd.select(*line).distinct(), line, "left_anti")
+    steady = open_.join(odd.select(*line).distinct(), line, "left_anti")
     template = runs(steady, "run").groupBy("doc_id", "item_id").agg(F.max("run").alias("template_run"))
     all_ = verbatim.join(template, ["doc_id", "item_id"], "full").select("doc_id", "item_id", F.coalesce("longest_run", F.lit(0)).alias("longest_run"), F.greatest(F.coalesce("template_run", F.lit(0)), F.coalesce("longest_run", F.lit(0))).alias("template_run"))
     kind = F.when(F.col("longest_run") >= RUN, "verbatim").when(F.col("template_run") >= 2 * RUN, "renamed")

@@ -11,6 +11,7 @@ import numpy as np
 WORD = re.compile(r"\w+")
 #: Marks inside words, dropped so that "don’t" stays one word.
 INNER = re.compile(r"(?<=\w)['’ʼ](?=\w)")
+COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -18,8 +19,7 @@ def folded(text: str) -> str:
     """Lower case; where a text is not plain ASCII also without accents and of compatible form."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.casefold())
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return COMBINING.sub("", unicodedata.normalize("NFKD", text.casefold()))
 
 
 def words(text: str) -> list[str]:
@@ -55,3 +55,30 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         h = mixed(h * MIX + hashes[i : i + n])
     return h
+
+
+class Lexicon(dict):
+    """Place of each word in ``hashes`` and ``classes``; emptied between batches when it grows too large."""
+
+    def __init__(self, classify):
+        super().__init__()
+        self.classify, self.hashes, self.classes = classify, [], []
+
+    def __missing__(self, word: str) -> int:
+        b = word.encode("utf-8", "surrogatepass")
+        at = self[word] = len(self.hashes)
+        self.hashes.append((zlib.crc32(b) << 32) | zlib.crc32(b, 0x5BD1E995))
+        self.classes.append(self.classify(word))
+        return at
+
+    def look_up(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and class of every word of all texts, and where each text ends."""
+        if len(self) > 400_000:
+            self.clear()
+            self.hashes.clear()
+            self.classes.clear()
+        places = np.array([self[w] for t in texts for w in t], dtype=np.int64)
+        ends = np.cumsum([len(t) for t in texts])
+        if not len(places):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), ends
+        return mixed(np.array(self.hashes, dtype=np.uint64))[places], np.array(self.classes, dtype=np.uint64)[places], ends
