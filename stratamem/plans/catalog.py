@@ -1,11 +1,15 @@
-"""Queries over the test tables, and their SQL."""
+"""Every query over the test tables, and its SQL."""
 
 from __future__ import annotations
 
+from stratamem.plans import graph, texts
+
+MODULES = (graph, texts)
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for m in MODULES for q in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
