@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratamem.plans import graph, texts
+from stratamem.plans import graph, knowledge, texts
 
-MODULES = (graph, texts)
+MODULES = (graph, texts, knowledge)
 
 
 def queries() -> dict:
