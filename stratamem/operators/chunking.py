@@ -39,6 +39,8 @@ def head_and_tail(text: str, size: int, count: Callable[[str], int] = ws_count)
             at = int(len(head) * size / count(head)) - 1
             while at > 0 and (head[at] not in " \n" or count(head[:at]) > size):
                 at -= 1
+            if at <= 0:  # the first token is longer than its share: cut after it, never inside
+                at = next(i for i, c in enumerate(head) if c in " \n" and i and head[:i].strip())
             head = head[: at + 1]
             break
     return head, text[len(head) :]

@@ -1,0 +1,137 @@
+import json
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stratamem.functions import text as T
+from stratamem.operators import chunking as C
+from stratamem.operators import knowledge as K
+from stratamem.operators import models as M
+from stratamem.operators import runs as R
+from stratamem.sources import readers, sinks
+
+
+def one(spark, column, *values):
+    df = spark.createDataFrame([values], [f"c{i}" for i in range(len(values))])
+    return df.select(column.alias("x")).first().x
+
+
+def test_scalar_functions(spark):
+    assert one(spark, T.entity_list(F.col("c0")), "a; b; a; ; c; d; e") == ["a", "b", "c", "d"][:4]
+    assert one(spark, T.token_scores(F.col("c0"), F.col("c1")), "The cat", "a cat").f1 == 1.0
+    assert one(spark, T.token_scores(F.col("c0"), F.col("c1")), "", "").f1 == 1.0
+    assert one(spark, T.sanitize_filename(F.col("c0")), ' a/b:c*?"<>| ') == "a_b_c______"
+    assert one(spark, T.sanitize_filename(F.col("c0")), "  ") == "doc"
+    assert one(spark, T.trim_ws(F.col("c0")), "\t\n a b \n") == "a b"
+    assert one(spark, T.json_object(F.col("c0")), 'x {"a": {"b": 1}} y') == '{"a": {"b": 1}}'
+    assert one(spark, T.title_stem(F.col("c0")), "A Book_chunk_12") == "A Book"
+
+
+def test_runs(spark):
+    rows = spark.createDataFrame([("b", i, f"t{i}") for i in (3, 4, 5, 8)], "k string, id bigint, text string")
+    got = {(r.node_id, r.text) for r in R.contiguous_runs(rows, "k", "id", "text").collect()}
+    assert got == {(5, "t3 t4 t5"), (8, "t8")}
+
+
+def test_claims(spark):
+    rows = spark.createDataFrame([("yes", "yes"), ("Yes ", "no"), ("no", "no"), ("no", "maybe")], "g string, p string")
+    r = R.claim_confusion(rows, F.col("g"), F.col("p")).first()
+    assert (r.tp_true, r.fn_true, r.fp_true, r.tp_false, r.fn_false, r.fp_false) == (1, 1, 1, 1, 1, 1)
+
+
+def test_total_is_told_apart_from_a_group_of_that_name(spark):
+    rows = spark.createDataFrame([("Overall", 1.0), (None, 3.0)], "t string, v double")
+    got = R.by_group_and_overall(rows, "t", {"n": F.count("*")}).collect()
+    assert [(r.is_total, r.n) for r in got] == [(0, 1), (0, 1), (1, 2)]
+
+
+def test_truncate_prefers_sentences_then_clauses_then_blanks():
+    head, tail = C.head_and_tail("One two. Three four. Five six.", 5)
+    assert head == "One two. Three four." and head + tail == "One two. Three four. Five six."
+    assert C.head_and_tail("a b, c d, e f", 4)[0] == "a b,"
+    head, tail = C.head_and_tail("a b c d e f", 3)
+    assert C.ws_count(head) <= 3 and head + tail == "a b c d e f"
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 50])
+def test_chunks_keep_every_token(spark, size):
+    text = "One two three. Four, five six.\n\nSeven eight nine ten eleven twelve.\nX"
+    got = C.chunk_texts(spark.createDataFrame([(1, text), (2, None), (3, "")], "book_id bigint, text string"), size).collect()
+    assert " ".join(r.text for r in got if r.book_id == 1).split() == text.split()
+    assert {r.book_id for r in got} == {1}
+
+
+def test_greedy_sizes_agree_with_a_loop(spark):
+    counts = [3, 4, 9, 1, 1, 20, 2]
+    got = [(r.n_parts, r.n_tokens) for r in C.greedy_sizes(spark.createDataFrame([(1, counts)], "book_id bigint, counts array<int>"), 8).orderBy("chunk_id").collect()]
+    assert got == [(2, 7), (1, 9), (2, 2), (1, 20), (1, 2)]
+
+
+def test_kg(spark):
+    assert K.overlap([], ["a"]) == 0 and K.overlap(["a", "b"], ["b"]) == 1
+    two = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0), ("c", "x", 0.1)]
+    g = K.modular_groups(two)
+    assert g["a"] == g["b"] == g["c"] != g["x"] == g["y"] == g["z"]
+    e = K.link_groups(two)
+    assert e["a", "b"] == e["b", "c"] != e["x", "y"]
+    rows = spark.createDataFrame([("d", 1, "lantern", ["t"]), ("d", 2, "lanterns", ["t"]), ("d", 3, "quay", None)], "doc_id string, chunk_id bigint, name string, types array<string>")
+    assert {r.name: r.linked for r in K.link_entities(rows, 0.8).collect()} == {"lantern": "lantern", "lanterns": "lantern", "quay": "quay"}
+
+
+def test_models_are_deterministic(spark):
+    backend = M.OfflineBackend()
+    assert backend.complete("gist", [{"passage": "First one. Second."}]) == ["First one."]
+    assert json.loads(backend.complete("statements", [{"passage": "A b. C d."}])[0])["statements"] == ["A b.", "C d."]
+    assert np.allclose(backend.embed(["a b"]), backend.embed(["b a"])) and not backend.embed([""]).any()
+    for name in M.PROMPTS:
+        M.render(name, **dict.fromkeys(["passage", "passages", "elements", "question", "options", "claim", "query", "reference", "answer"], "v"))
+    df = spark.createDataFrame([(1, "Hello there. X"), (2, None)], "id bigint, t string")
+    assert {r.id: r.output for r in M.complete(df, "gist", "id", "passage", "t").collect()} == {1: "Hello there.", 2: ""}
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    for d in ("b", "c", "q", "n", "j"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "b/One.txt").write_text("a\nb")
+    assert [tuple(r) for r in readers.books(spark, str(tmp_path / "b")).collect()] == [("One", "a\nb")]
+    (tmp_path / "c/Book_chunked_512.json").write_text(json.dumps({"0": {"title": "Book_chunk_0", "text": "x"}, "10": {"title": "Book_chunk_10", "text": "y", "doc_id": "d"}}))
+    assert [(r.book_id, r.chunk_id, r.doc_id) for r in readers.chunks(spark, str(tmp_path / "c")).orderBy("chunk_id").collect()] == [("Book", 0, None), ("Book", 10, "d")]
+    np.save(tmp_path / "n/Book_embeddings.npy", np.arange(6, dtype=np.float32).reshape(2, 3))
+    assert [(r.book_id, r.row, list(r.vec)) for r in readers.matrices(spark, str(tmp_path / "n")).orderBy("row").collect()] == [("Book", 0, [0, 1, 2]), ("Book", 1, [3, 4, 5])]
+    record = {"question_id": "q1", "question": "Why?", "haystack_dates": ["d1"], "haystack_sessions": [[{"role": "user", "content": "hi"}, {"content": " "}, {"content": "yo"}]]}
+    (tmp_path / "q/all.json").write_text(json.dumps([record, {"question_id": "", "question": "x"}]))
+    got = readers.conversations(spark, str(tmp_path / "q")).orderBy("turn").collect()
+    assert [(r.book_id, r.session, r.date, r.turn, r.role, r.content) for r in got] == [("q1", 1, "d1", 0, "user", "hi"), ("q1", 1, "d1", 2, "Unknown", "yo")]
+    (tmp_path / "j/lines.json").write_text('{"claim": "a", "label": "yes"}\n{"claim": "b", "label": "no"}\n')
+    assert readers.records(spark, str(tmp_path / "j"), readers.CLAIMS).count() == 2
+    df = spark.createDataFrame([(1, 0.5)], "id bigint, v double")
+    out = str(tmp_path / "t")
+    sinks.append_missing(df, out, "id")
+    sinks.append_missing(df.unionByName(spark.createDataFrame([(2, 1.0)], df.schema)), out, "id")
+    assert spark.read.parquet(out).count() == 2
+    sinks.write_metrics(df, str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m")).first().v == "0.50"
+    sinks.snapshot(spark, out, str(tmp_path / "s"))
+    with pytest.raises(FileExistsError):
+        sinks.snapshot(spark, out, str(tmp_path / "s"))
+
+
+def test_queries_have_matching_columns(spark):
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{data}/{f}'")
+    sql = entry.oracle_sql()
+    assert sql.keys() <= entry.queries().keys()
+    for name in ("knn_edges", "greedy_token_chunks", "session_book", "grouped_metrics_overall", "contiguous_merge", "kg_bipartite_lift", "filename_sanitize_dedupe"):
+        got, want = entry.queries()[name](spark, data), con.sql(sql[name])
+        assert sorted(got.columns) == sorted(want.columns), name
+        assert got.count() == len(want.fetchall() if not hasattr(want, "df") else want.df()), name
+    assert entry.entry(spark).count() >= 0
