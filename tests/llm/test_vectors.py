@@ -102,10 +102,10 @@ def truth(x, least):
         label = new
 
 
-@pytest.mark.parametrize(("bucket", "task"), [(8192, 16384), (64, 16384), (64, 400)])
+@pytest.mark.parametrize(("bucket", "task"), [(8192, 2), (64, 100), (64, 3)])
 def test_groups_match_brute_force(spark, monkeypatch, bucket, task):
     monkeypatch.setattr(clusters, "BUCKET", bucket)
-    monkeypatch.setattr(clusters, "TASK_ROWS", task)
+    monkeypatch.setattr(clusters, "TASK_BUCKETS", task)
     x = random_vectors(500, seed=1, centres=9, noise=0.3)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, x[3].tolist()), *BROKEN]
     got = {(r.first_id, r.member_id) for r in clusters.similarity_groups(both(spark, rows)).where("level = 0").collect()}
