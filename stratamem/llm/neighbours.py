@@ -95,7 +95,13 @@ def neighbours_in_windows(k: int, dim: int):
             b.append(c)
         a, b = np.concatenate(a), np.concatenate(b)
         exact = np.einsum("ij,ij->i", x[a].astype(np.float64), y[b].astype(np.float64))
-        return xid[a], yid[b], np.rint(exact * SCALE).astype(np.int64)
+        score, other = np.rint(exact * SCALE).astype(np.int64), yid[b]
+        # the bound lets a few more through than the k best, which need not be shuffled
+        order = np.lexsort((other, -score, a))
+        row = a[order]
+        start = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], np.arange(len(row)), 0)) if len(row) else row
+        order = order[np.arange(len(row)) - start < k]
+        return xid[a[order]], other[order], score[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         curve, held, tail = None, [], None
