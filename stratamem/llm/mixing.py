@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratamem.storage import latest, materialize
 
@@ -142,8 +143,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
         [(r.source, r.target_share, r.max_repeats, int(r.tokens), int(round(r.wanted))) for r in plan.itertuples()],
         "source string, target_share double, max_repeats int, available_tokens bigint, wanted_tokens bigint",
     ).join(got, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
-    all_tokens = table.agg(F.sum("tokens").alias("all_tokens"))
-    shares = table.crossJoin(F.broadcast(all_tokens)).select("source", "target_share", F.coalesce(F.col("tokens") / F.nullif("all_tokens", F.lit(0)), F.lit(0.0)).alias("share"), "max_repeats", "most_copies", "available_tokens", "wanted_tokens", "tokens", "documents")
+    all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over a row per target
+    shares = table.withColumn("all_tokens", all_tokens).select("source", "target_share", F.coalesce(F.col("tokens") / F.nullif("all_tokens", F.lit(0)), F.lit(0.0)).alias("share"), "max_repeats", "most_copies", "available_tokens", "wanted_tokens", "tokens", "documents")
     return copies, shares
 
 
