@@ -114,6 +114,7 @@ def cluster_texts(spark, d):
     return rows.groupBy("community").agg(F.array_join(numbered, "\n").alias("passages"))
 
 
+# the SQL of the next two ends at level 1; every level is in hierarchy_levels and hierarchy_memory
 def level_offsets(spark, d):
     e, w = edges(spark, d, CLUSTERED), nodes(spark, d)
     return P.hierarchy(w, e, ROUNDS, CAP, max_level=1)[0]
@@ -124,7 +125,13 @@ def composed_memory(spark, d):
 
 
 def hierarchy_levels(spark, d):
-    return P.hierarchy(nodes(spark, d), edges(spark, d, CLUSTERED), ROUNDS, CAP, max_level=4)[0]
+    """Offsets of all levels, until the communities stop shrinking."""
+    return P.hierarchy(nodes(spark, d), edges(spark, d, CLUSTERED), ROUNDS, CAP)[0]
+
+
+def hierarchy_memory(spark, d):
+    """The composed memory of all levels."""
+    return P.hierarchy(nodes(spark, d), edges(spark, d, CLUSTERED), ROUNDS, CAP)[1].select("level", "node_id", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children"))
 
 
 def expand_frontier(spark, d):
@@ -170,7 +177,7 @@ def incremental_personas(spark, d):
 QUERIES = (
     pairwise_similarity, pairwise_similarity_masked, banded_similarity, knn_edges, query_topk, node_degree_stats, ego_triangles, ego_components, persona_nodes,
     persona_edges, label_propagation, community_size_cap, community_stats, community_membership, super_graph_edges, cluster_texts, level_offsets, composed_memory,
-    hierarchy_levels, expand_frontier, prune_and_grow, incremental_personas,
+    hierarchy_levels, hierarchy_memory, expand_frontier, prune_and_grow, incremental_personas,
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratamem.operators import personas as P
 from stratamem.operators import similarity as S
 from stratamem.operators.components import connected_components
+from stratamem.plans import graph
 from stratamem.streaming.incremental import IncrementalMemory
 
 
@@ -124,3 +125,69 @@ def test_incremental_equals_split_of_its_edges(spark, tmp_path):
     assert {tuple(r) for r in P.ego_components(e).collect()} == {tuple(r) for r in c.select("o", "p", "comp").collect()}
     memory.add(spark.createDataFrame(rows[:5], "id bigint, vec array<double>"), v)
     assert memory.version() == v
+
+
+def looped_hierarchy(ids, pairs, rounds, cap, max_level=10):
+    """The rule of ``hierarchy`` in plain loops: ``(sizes, composed rows)``."""
+    place = {n: k for k, n in enumerate(sorted(ids))}
+    now, local = {(place[u], place[v]) for u, v in pairs}, range(len(place))
+    sizes, stacks = [len(place)], [{k: [] for k in local}]
+    for _ in range(max_level):
+        adj = {n: set() for n in local}
+        for u, v in now:
+            adj[u].add(v)
+            adj[v].add(u)
+        comp = {}
+        for o in adj:
+            for p in adj[o]:
+                seen, todo = {p}, [p]
+                while todo:
+                    new = adj[todo.pop()] & adj[o] - seen
+                    seen |= new
+                    todo += new
+                comp[o, p] = min(seen)
+        keys = sorted({(o, c) for (o, _), c in comp.items()} | {(n, -1) for n in adj if not adj[n]})
+        persona = {k: i for i, k in enumerate(keys)}
+        padj = {i: set() for i in persona.values()}
+        for u, v in now:
+            x, y = persona[u, comp[u, v]], persona[v, comp[v, u]]
+            padj[x].add(y)
+            padj[y].add(x)
+        label = {i: i for i in padj}
+        for _ in range(rounds):
+            old = dict(label)
+            for i, others in padj.items():
+                votes = [old[j] for j in others]
+                best = max(((votes.count(x), x) for x in votes), default=None)
+                if best and votes.count(old[i]) != best[0]:
+                    label[i] = max(old[i], best[1])
+        run, taken = {}, {}
+        for i in sorted(label):
+            run[i] = (label[i], taken.get(label[i], 0) // cap)
+            taken[label[i]] = taken.get(label[i], 0) + 1
+        number = {r: k for k, r in enumerate(sorted(set(run.values())))}
+        if len(number) >= sizes[-1]:
+            break
+        members = {k: set() for k in number.values()}
+        for i, r in run.items():
+            members[number[r]].add(keys[i][0])
+        of = {n: {c for c, m in members.items() if n in m} for n in adj}
+        joined = [(c, e) for n in adj for c in of[n] for e in of[n]] + [(c, e) for u, v in now for c in of[u] for e in of[v]]
+        now, local = {(min(p), max(p)) for p in joined if p[0] != p[1]}, range(len(number))
+        sizes.append(len(number))
+        stacks.append(members)
+    offset = [sum(sizes[:k]) for k in range(len(sizes))]
+    rows = {(k, offset[k] + n, ",".join(str(c + offset[k - 1]) for c in sorted(m))) for k, stack in enumerate(stacks) for n, m in stack.items()}
+    return sizes, rows
+
+
+def test_every_level_of_the_hierarchy_is_given(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20, 8))[np.arange(220) // 11] + 0.5 * rng.standard_normal((220, 8))
+    spark.createDataFrame([(i, v.tolist(), "d") for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = [(r.u, r.v) for r in graph.edges(spark, str(tmp_path), graph.CLUSTERED).collect()]
+    sizes, rows = looped_hierarchy(range(220), pairs, graph.ROUNDS, graph.CAP)
+    assert len(sizes) > 5
+    got = sorted(tuple(r) for r in graph.hierarchy_levels(spark, str(tmp_path)).collect())
+    assert got == [(k, n, sum(sizes[:k])) for k, n in enumerate(sizes)]
+    assert {tuple(r) for r in graph.hierarchy_memory(spark, str(tmp_path)).collect()} == rows
