@@ -11,10 +11,12 @@ words in the slots tell verbatim windows from consistently renamed ones.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from stratamem.llm.text import INNER, MIX, WORD, Lexicon, folded, mixed, shingle
 from stratamem.storage import materialize
 
 WINDOW, RUN = 8, 12
+#: A renamed copy has a template run of 2 * RUN words or, where that is less, of this share of the item's text, but no less than RUN.
+MOST = 0.75
 #: Windows with fewer plain words are compared word by word only.
 PLAIN = 4
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
@@ -73,13 +77,41 @@ def item_words(texts: list[str]) -> tuple[dict[str, int], list[list[str]]]:
     return classes | dict.fromkeys(NUMBERS, 2) | dict.fromkeys(UNITS, 3), split
 
 
+def renamed_run(words: int) -> int:
+    """Words of a template run that make a renamed copy of a text of so many words."""
+    return max(RUN, min(2 * RUN, math.ceil(MOST * words)))
+
+
+def steady_run(left: list[str], right: list[str]) -> int:
+    """Length of the longest stretch in which each word of ``left`` has one counterpart and each counterpart one word."""
+    last_left: dict[str, int] = {}
+    last_right: dict[str, int] = {}
+    start = best = 0
+    for k, (a, b) in enumerate(zip(left, right, strict=True)):
+        i, j = last_left.get(a, -1), last_right.get(b, -1)
+        if i >= 0 and right[i] != b:
+            start = max(start, i + 1)
+        if j >= 0 and left[j] != a:
+            start = max(start, j + 1)
+        last_left[a] = last_right[b] = k
+        best = max(best, k + 1 - start)
+    return best
+
+
+def steady_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        run = [steady_run(list(a), list(b)) for a, b in zip(f.item_words, f.words, strict=True)]
+        yield pd.DataFrame({"doc_id": f.doc_id, "item_id": f.item_id, "need": f.need, "run": run})
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, longest_run, template_run, leak)`` for every document that holds part of an item.
 
     ``longest_run`` is the greatest number of consecutive words of the item's
     question or passage that the document holds; ``template_run`` that of canonical
-    words with consistent slots. ``leak`` is "verbatim" from ``RUN`` words, else
-    "renamed" when the template run reaches twice that.
+    words with consistent slots, where it makes a renamed copy. ``leak`` is
+    "verbatim" from ``RUN`` words, else "renamed" when the template run reaches
+    ``renamed_run`` of the question or passage; slots are judged within the run only.
 
     Cases: null and empty texts hold nothing; items are read once per id; a null
     question or passage is no text; texts shorter than a window cannot reach
@@ -98,8 +130,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         h, classes, _ = lexicon.look_up([tokens])
         window, exact = template_windows(classes, h)
         keys.append(window)
-        rows += [(item, field == "passage", i, int(window[i].view(np.int64)), int(exact[i].view(np.int64)), tokens[i : i + WINDOW]) for i in range(len(window))]
-    known = spark.createDataFrame(rows, "item_id bigint, passage boolean, at int, window bigint, exact bigint, words array<string>")
+        rows += [(item, field == "passage", i, int(window[i].view(np.int64)), int(exact[i].view(np.int64)), tokens[i : i + WINDOW], renamed_run(len(tokens))) for i in range(len(window))]
+    known = spark.createDataFrame(rows, "item_id bigint, passage boolean, at int, window bigint, exact bigint, words array<string>, need int")
     bits = max(FILTER_BITS, int(np.ceil(np.log2(16 * max(1, len(rows))))))
     table = np.zeros(1 << (bits - 3), dtype=np.uint8)
     places = np.unique(np.concatenate(keys) >> np.uint64(64 - bits))
@@ -111,7 +143,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         lexicon = Lexicon(classifier(known_classes))
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
-                docs = np.asarray(batch.column(0).slice(part, 2000))
+                docs, copies = (np.asarray(batch.column(i).slice(part, 2000)) for i in (0, 2))
                 texts = [plain_words(t) for t in batch.column(1).slice(part, 2000).to_pylist()]
                 h, classes, ends = lexicon.look_up(texts)
                 keys, exact = template_windows(classes, h)
@@ -123,11 +155,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 if len(hit):
                     at = hit - np.r_[0, ends[:-1]][of]
                     words = [texts[d][i : i + WINDOW] for d, i in zip(of, at, strict=True)]
-                    columns = [docs[of].astype(np.int64), at.astype(np.int32), keys[hit].view(np.int64), exact[hit].view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.list_(pa.string()))], ["doc_id", "at", "window", "exact", "words"])
+                    columns = [docs[of].astype(np.int64), copies[of], at.astype(np.int32), keys[hit].view(np.int64), exact[hit].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.list_(pa.string()))], ["doc_id", "copy", "at", "window", "exact", "words"])
 
-    read = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= RUN)).select(F.col("doc_id").cast("bigint"), "text")
-    found = read.mapInArrow(scan, "doc_id bigint, at int, window bigint, exact bigint, words array<string>").distinct()
+    read = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= RUN)).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("copy"))
+    found = read.mapInArrow(scan, "doc_id bigint, copy bigint, at int, window bigint, exact bigint, words array<string>").distinct()
     k = known.withColumnsRenamed({"at": "item_at", "exact": "item_exact", "words": "item_words"})
     both = materialize(found.join(k, "window").withColumn("same", F.col("exact") == F.col("item_exact")), "template-windows")
     line = ["doc_id", "item_id", "passage", "diagonal"]
@@ -139,18 +171,19 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     placed = both.withColumn("diagonal", F.col("at") - F.col("item_at"))
     verbatim = runs(placed.where("same"), "run").groupBy("doc_id", "item_id").agg(F.max("run").alias("longest_run"))
-    # only a diagonal whose template run is long enough can be a renamed copy, so only its slots are compared;
+    # only a template run that is long enough can be a renamed copy, so only its slots are compared;
     # a slot is consistent if each item word has one counterpart and each counterpart one item word
     other = placed.join(verbatim.where(F.col("longest_run") >= RUN).select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
-    long = runs(other, "run").where(F.col("run") >= 2 * RUN).select(*line).distinct()
-    open_ = materialize(other.join(long, line, "left_semi"), "long-templates")
-    slots = open_.select(*line, F.explode(F.arrays_zip("item_words", "words")).alias("s")).select(*line, "s.item_words", "s.words").distinct()
-    odd = slots.withColumn("n", F.count("*").over(Window.partitionBy(*line, "item_words"))).withColumn("m", F.count("*").over(Window.partitionBy(*line, "words"))).where("n > 1 or m > 1")
-    steady = open_.join(odd.select(*line).distinct(), line, "left_anti")
-    template = runs(steady, "run").groupBy("doc_id", "item_id").agg(F.max("run").alias("template_run"))
-    all_ = verbatim.join(template, ["doc_id", "item_id"], "full").select("doc_id", "item_id", F.coalesce("longest_run", F.lit(0)).alias("longest_run"), F.greatest(F.coalesce("template_run", F.lit(0)), F.coalesce("longest_run", F.lit(0))).alias("template_run"))
-    kind = F.when(F.col("longest_run") >= RUN, "verbatim").when(F.col("template_run") >= 2 * RUN, "renamed")
-    return all_.withColumn("leak", kind).where(F.col("leak").isNotNull())
+    apart = [*line, "copy"]  # texts delivered under one id are no common text
+    islands = other.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy(*apart).orderBy("at")))
+    # no more windows than the item has
+    whole = islands.groupBy(*apart, "island", "need").agg(F.sort_array(F.collect_list(F.struct("at", "item_words", "words"))).alias("w")).where(F.size("w") + WINDOW - 1 >= F.col("need"))
+    joined = lambda c: F.concat(F.transform("w", lambda x: x[c][0]), F.slice(F.element_at("w", -1)[c], 2, WINDOW - 1)).alias(c)
+    steady = whole.select("doc_id", "item_id", "need", joined("item_words"), joined("words")).mapInPandas(steady_runs, "doc_id bigint, item_id bigint, need int, run int")
+    template = steady.where(F.col("run") >= F.col("need")).groupBy("doc_id", "item_id").agg(F.max("run").alias("template_run"))
+    all_ = verbatim.join(template, ["doc_id", "item_id"], "full").select("doc_id", "item_id", F.coalesce("longest_run", F.lit(0)).alias("longest_run"), F.greatest(F.coalesce("template_run", F.lit(0)), F.coalesce("longest_run", F.lit(0))).alias("template_run"), F.col("template_run").isNotNull().alias("renamed"))
+    kind = F.when(F.col("longest_run") >= RUN, "verbatim").when(F.col("renamed"), "renamed")
+    return all_.withColumn("leak", kind).drop("renamed").where(F.col("leak").isNotNull())
 
 
 def item_report(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -92,6 +92,21 @@ def test_leaks(spark):
     assert leakage.leaks(documents(spark, rows), items(spark).limit(0)).count() == 0
 
 
+QUESTION = "Which lantern did the miller of Orlanvar leave near the old bridge with Dunmere before dawn when rain fell on the roof?"
+
+
+def test_renamed_short_questions_and_slots_of_a_run(spark):
+    assert leakage.RUN < len(leakage.plain_words(QUESTION)) < 2 * leakage.RUN
+    short = QUESTION.replace("Orlanvar", "Zelkomir").replace("Dunmere", "Vastrin")
+    passage = PASSAGE + " when Kestrel read it to Dunmere"
+    # the last slot does not fit, the 29 words before it do
+    torn = passage.replace("Orlanvar", "Zelkomir").replace("by Dunmere", "by Vastrin").replace("seventeen", "30").replace("Kestrel", "Falkor").replace("to Dunmere", "to Orlo")
+    mixed = QUESTION.replace("Orlanvar", "Vastrin").replace("Dunmere", "Vastrin")
+    rows = [(1, short, "s"), (2, torn, "s"), (3, " ".join(short.split()[:11]), "s"), (3, " ".join(short.split()[11:]), "s"), (4, mixed, "s")]
+    got = {(r.doc_id, r.item_id): (r.leak, r.template_run) for r in leakage.leaks(documents(spark, rows), items(spark, [(1, QUESTION, None), (2, None, passage)])).collect()}
+    assert got == {(1, 1): ("renamed", 22), (2, 2): ("renamed", 29)}
+
+
 # mixing
 
 
