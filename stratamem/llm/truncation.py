@@ -1,7 +1,7 @@
 """Text cut off by field limits.
 
 The length of every text is recomputed under the encodings a store may have
-counted in; a pile of texts at a source's greatest length exposes a hidden limit.
+counted in; a pile of texts at the end of a source's lengths exposes a hidden limit.
 Endings are then inspected: a text is cut when it stops inside a word, an escape,
 a list or a sentence, or leaves open what it began with. For lists, which need no
 closing mark, the last item is compared with the items known from the whole
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratamem.storage import latest, materialize
 
@@ -30,8 +31,10 @@ DOTS = re.compile(r"(?:…|\.{2,}|。{2,})$")
 PARTIAL = re.compile(r"(?:�|&#?\w{0,8}|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?|%[0-9a-fA-F]{0,2}|<[^<>]{0,60})$")
 HEAD = re.compile(r"^(?P<head>[^\W\d_]+(?: [^\W\d_]+)?) ?[:–—-] ")
 SEPARATOR = re.compile(r"\s*[;,/|、，；·•]\s*|\n\s*")
-#: A length is a hidden limit if this share of a source's texts, and as many of them, lie exactly at its greatest length.
+#: A length is a hidden limit if this share of a source's texts, and as many of them, lie exactly at it, and it is the greatest;
 PILE_SHARE, PILE = 0.02, 10
+#: or if no more than this share of its texts is longer, and it has so many times the texts of any length so near.
+ABOVE_SHARE, PEAK, NEAR = 0.05, 4, 5
 #: A head introduces lists if so many texts under it have the form of one, and this share of its texts.
 HEAD_ROWS, HEAD_SHARE = 3, 0.8
 #: A name inside a sentence, not at the end of the text.
@@ -121,11 +124,16 @@ def list_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def inspected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         ends = [ending(t) for t in f.gist]
-        yield pd.DataFrame({"chunk_id": f.chunk_id, "gist_source": f.gist_source, "lengths": f.lengths, "state": [e[0] for e in ends], "head": [e[1] for e in ends], "first": [e[2].lower() for e in ends], "last": [e[3].lower() for e in ends]})
+        yield pd.DataFrame({"chunk_id": f.chunk_id, "gist_source": f.gist_source, "lengths": f.lengths, "unsure": f.unsure, "state": [e[0] for e in ends], "head": [e[1] for e in ends], "first": [e[2].lower() for e in ends], "last": [e[3].lower() for e in ends]})
+
+
+def unsure_bytes(text: str) -> F.Column:
+    """Bytes that the text may have had less than now: U+FFFD, of 3, stands for 1 to 3 of a character cut at the end."""
+    return F.when(F.col(text).endswith("\ufffd"), 2).otherwise(0)
 
 
 def lengths(text: str) -> F.Column:
-    """The text's length under each encoding, as a map."""
+    """The text's length under each encoding, as a map; the least one where it is unsure."""
     c = F.col(text)
     n = F.length(c)
     count = lambda s: (F.length(c) - F.length(F.replace(c, F.lit(s)))).cast("int")
@@ -133,7 +141,7 @@ def lengths(text: str) -> F.Column:
     beyond = F.length(F.regexp_replace(c, "[\\x00-\\x7f]", ""))
     return F.create_map(
         F.lit("characters"), n,
-        F.lit("utf-8 bytes"), F.octet_length(c),
+        F.lit("utf-8 bytes"), F.octet_length(c) - unsure_bytes(text),
         F.lit("utf-16 units"), (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int"),
         F.lit("entities escaped"), n + 4 * count("&") + 3 * (count("<") + count(">")) + 5 * count('"'),
         F.lit("json escaped"), n + count('"') + count("\\") + count("\n") + count("\t"),
@@ -149,12 +157,25 @@ def gists(metadata: DataFrame) -> DataFrame:
     return one.where(F.length(F.regexp_replace("gist", "[\\s\\xa0]", "")) > 0)
 
 
+def possible_lengths(sized: DataFrame, *columns: str) -> DataFrame:
+    """``(*columns, encoding, limit, extra)``: each text's least length, and as ``extra`` those above it that it may have had."""
+    each = sized.select(*columns, "unsure", F.explode("lengths").alias("encoding", "length"))
+    extra = F.explode(F.sequence(F.lit(0), F.when(F.col("encoding") == "utf-8 bytes", F.col("unsure")).otherwise(0)))
+    return each.select(*columns, "encoding", "length", extra.alias("extra")).select(*columns, "encoding", (F.col("length") + F.col("extra")).alias("limit"), "extra")
+
+
 def hidden_limits(sized: DataFrame) -> DataFrame:
-    """``(gist_source, encoding, limit, at_limit, texts)`` of the piles found at greatest lengths."""
-    each = sized.select("gist_source", F.explode("lengths").alias("encoding", "length"))
-    histogram = each.groupBy("gist_source", "encoding", "length").agg(F.count("*").alias("n"))
-    top = histogram.groupBy("gist_source", "encoding").agg(F.max(F.struct("length", "n")).alias("top"), F.sum("n").alias("texts"))
-    return top.select("gist_source", "encoding", F.col("top.length").alias("limit"), F.col("top.n").alias("at_limit"), "texts").where((F.col("at_limit") >= PILE) & (F.col("at_limit") >= PILE_SHARE * F.col("texts")))
+    """``(gist_source, encoding, limit, at_limit, texts)`` of the piles found at, or near, greatest lengths."""
+    sure = F.sum((F.col("extra") == 0).cast("bigint"))
+    histogram = possible_lengths(sized, "gist_source").groupBy("gist_source", "encoding", "limit").agg(F.count("*").alias("at_limit"), sure.alias("sure"))
+    # a source has as many rows here as different lengths
+    of = Window.partitionBy("gist_source", "encoding")
+    by = of.orderBy("limit")
+    around = F.greatest(*[F.coalesce(F.max("at_limit").over(by.rangeBetween(a, b)), F.lit(0)) for a, b in ((-NEAR, -1), (1, NEAR))])
+    seen = histogram.withColumn("texts", F.sum("sure").over(of)).withColumn("above", F.coalesce(F.sum("sure").over(by.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))).withColumn("around", around)
+    pile = (F.col("at_limit") >= PILE) & (F.col("at_limit") >= PILE_SHARE * F.col("texts"))
+    peak = (F.col("above") <= ABOVE_SHARE * F.col("texts")) & (F.col("at_limit") >= PEAK * F.col("around"))
+    return seen.where(pile & ((F.col("above") == 0) | peak)).select("gist_source", "encoding", "limit", "at_limit", "texts")
 
 
 def truncated(metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -170,7 +191,7 @@ def truncated(metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     repeated entities only add what they have to the known items; an empty table
     gives empty results. Long texts are inspected whole.
     """
-    sized = materialize(gists(metadata).withColumn("lengths", lengths("gist")), "gists")
+    sized = materialize(gists(metadata).withColumns({"lengths": lengths("gist"), "unsure": unsure_bytes("gist")}), "gists")
     limits = materialize(hidden_limits(sized), "limits")
     seen = materialize(sized.select("gist").mapInPandas(list_words, "what string, head string, item string, n bigint").groupBy("what", "head", "item").agg(F.sum("n").alias("n")), "list-words")
     entities = metadata.select(F.explode("entity_concepts").alias("item")).select(F.lower("item").alias("item")).where(F.length("item") > 1).distinct()
@@ -179,14 +200,14 @@ def truncated(metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     heads = heads.where((F.col("lists") >= HEAD_ROWS) & (F.col("lists") >= HEAD_SHARE * F.col("texts")) | F.col("head").isin("#", "-")).select("head", F.lit(True).alias("list_head"))
     items = seen.where("what = 'item'").join(heads, "head", "left_semi").select("item")
     known = materialize(entities.unionByName(items).unionByName(seen.where("what = 'name'").select("item")).distinct(), "known-items")
-    ends = materialize(sized.select("chunk_id", "gist_source", "lengths", "gist").mapInPandas(inspected, "chunk_id bigint, gist_source string, lengths map<string,int>, state string, head string, first string, last string"), "endings")
+    ends = materialize(sized.select("chunk_id", "gist_source", "lengths", "unsure", "gist").mapInPandas(inspected, "chunk_id bigint, gist_source string, lengths map<string,int>, unsure int, state string, head string, first string, last string"), "endings")
     open_ = ends.where("state = 'list'")
     # an item is cut if it is unknown and begins a known one
     last = open_.select("last").distinct()
     starts = known.select(F.explode(F.expr("transform(sequence(1, least(length(item), 24)), i -> left(item, i))")).alias("last"), "item").where("item <> last").select("last").distinct()
     # known items stay apart from what only begins them; both sides are vocabularies
     judged = last.join(known.select(F.col("item").alias("last"), F.lit(True).alias("is_known")), "last", "left").join(starts.withColumn("begins", F.lit(True)), "last", "left")
-    at_limit = open_.select("chunk_id", "gist_source", F.explode("lengths").alias("encoding", "limit")).join(limits.select("gist_source", "encoding", "limit"), ["gist_source", "encoding", "limit"], "left_semi").select("chunk_id").distinct().withColumn("full", F.lit(True))
+    at_limit = possible_lengths(open_, "chunk_id", "gist_source").join(limits.select("gist_source", "encoding", "limit"), ["gist_source", "encoding", "limit"], "left_semi").select("chunk_id").distinct().withColumn("full", F.lit(True))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     # under a head of no lists it is a sentence that has just begun; without a head its outer items must be known
     first = known.select(F.col("item").alias("first"), F.lit(True).alias("first_known"))

@@ -198,6 +198,19 @@ def test_truncated(spark):
     assert all(p.count() == 0 for p in truncation.truncated(df.limit(0)))
 
 
+def test_a_limit_shows_below_a_few_longer_texts(spark):
+    cut_bytes = lambda text, n: text.encode()[:n].decode("utf-8", "replace")
+    short = [(i, prose(3 + i % 9, i) + ".", None, "c") for i in range(300)]
+    umlauts = [(1000 + i, cut_bytes(f"{'x' * (i % 2)}ü" + "ü" * (i % 7) + re.sub("[aei]", "ü", prose(60, i)), 90), None, "c") for i in range(60)]
+    listed = [(2000 + i, (f"Topics: öl; {'lantern; ' * 9}")[:82] + "kettlex", ["lantern", "öl"], "c") for i in range(3)]
+    longer = [(3000, prose(70, 3)[:99] + ".", None, "c")]
+    assert sum(g.endswith("\ufffd") for _, g, _, _ in umlauts) > 5 and {len(g.encode()) for _, g, _, _ in listed} == {90}
+    cut, _, limits = truncation.truncated(metadata(spark, short + umlauts + listed + longer))
+    found = {(r.encoding, r.limit): r.at_limit for r in limits.collect()}
+    assert found == {("utf-8 bytes", 90): 63}
+    assert {2000, 2001, 2002} <= {r.chunk_id for r in cut.collect()}
+
+
 def test_words_ignore_case_accents_and_inner_marks():
     assert words("Naïve CAFÉ don’t—stop") == ["naive", "cafe", "dont", "stop"]
     assert np.array_equal(near_duplicates.routing_bits(np.arange(5, dtype=np.uint64)), near_duplicates.routing_bits(np.arange(5, dtype=np.uint64)))
