@@ -29,10 +29,8 @@ DEPTH = 24
 #: Rows expected in the fullest bucket of unrelated vectors: a thirty-second of all, within these bounds. Fewer
 #: rows a bucket need more bands, so more copies of each vector; more rows need more comparisons.
 BUCKET, BUCKET_SHARE, BUCKET_MOST = 8192, 32, 32768
-#: A bucket of more than so many times that is compared in parts.
+#: A bucket of more than so many times that is compared in blocks, every part with every other.
 TASK_BUCKETS = 2
-#: Vectors of an overfull bucket that all of its parts see.
-PIVOTS = 256
 #: Chance that two vectors just similar enough never meet in a bucket.
 MISS = 0.002
 #: Half-precision products err by less than this; pairs so near the threshold are looked up exactly.
@@ -103,19 +101,45 @@ def groups_in(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.n
     return label, degree, a[open_], b[open_]
 
 
+def groups_across(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``groups_in`` for the rows of ``x`` and then ``y``, of pairs between the two only."""
+    n = len(x)
+    label, degree, unsure = np.arange(n + len(y)), np.zeros(n + len(y), dtype=np.int64), [np.zeros((2, 0), dtype=np.int64)]
+    for i in range(0, n, 512):
+        scores = x[i : i + 512] @ y.T
+        near = scores >= least + DOUBT
+        degree[i : i + len(near)] = near.sum(axis=1)
+        degree[n:] += near.sum(axis=0)
+        some = np.flatnonzero(degree[i : i + len(near)])
+        label = settle(label, some + i, near[some].argmax(axis=1) + n)  # most of a dense group at once
+        near &= label[i : i + len(near), None] != label[None, n:]
+        a, b = np.nonzero(near)
+        label = settle(label, a + i, b + n)
+        doubt = np.abs(scores - least) < DOUBT
+        if doubt.any():
+            a, b = np.nonzero(doubt)
+            unsure.append(np.stack([a + i, b + n]))
+    a, b = np.concatenate(unsure, axis=1)
+    open_ = label[a] != label[b]
+    return label, degree, a[open_], b[open_]
+
+
 def in_buckets(least: float):
-    """Over rows sorted by bucket: each member linked to the first of its group, and pairs to be looked up."""
+    """Over rows sorted by bucket and pair of parts: each member linked to the first of its group, and pairs to be looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         out: list[tuple[np.ndarray, ...]] = []
 
         def close() -> None:
-            mark, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            mark, sides, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            ids, first = np.unique(ids, return_index=True)
+            across = mark[0, 3] != mark[0, 4]
+            first = np.lexsort((ids, sides))
+            first = first[np.r_[True, (np.diff(ids[first]) != 0) | (np.diff(sides[first]) != 0)]]
+            ids, x, split = ids[first], x[first].astype(np.float32), int((sides == 0)[first].sum())
             if len(ids) > 1:
-                label, degree, a, b = groups_in(x[first].astype(np.float32), least)
+                label, degree, a, b = groups_across(x[:split], x[split:], least) if across else groups_in(x, least)
                 linked = np.flatnonzero(degree)
                 level = np.full(len(linked), mark[0, 0])
                 out.append((level, ids[linked], ids[label[linked]], degree[linked]))
@@ -130,13 +154,13 @@ def in_buckets(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns[:4]], axis=1)
-            ids, x = np.asarray(batch.column(4)), matrix(batch.column(5), "float16")
+            marks = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns[:5]], axis=1)
+            sides, ids, x = np.asarray(batch.column(5)), np.asarray(batch.column(6)), matrix(batch.column(7), "float16")
             edges = np.r_[0, np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, len(marks)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if held and (held[0][0][0] != marks[a]).any():
                     close()
-                held.append((marks[a:b], ids[a:b], x[a:b]))
+                held.append((marks[a:b], sides[a:b], ids[a:b], x[a:b]))
             if len(out) > 512:
                 yield emit()
         if held:
@@ -165,29 +189,19 @@ def similar_links(distinct: DataFrame, least: float, dim: int) -> DataFrame:
     signed = materialize(distinct.select("level", "id", "vec").mapInArrow(banded, "level int, id bigint, half binary, keys array<bigint>"), "minhashes")
     entries = signed.select("level", "id", "half", F.posexplode("keys").alias("band", "key"))
     sizes = entries.groupBy("level", "band", "key").agg(F.count("*").alias("n"))
-    # an overfull bucket is dealt into parts that share pivots; its rows also meet under longer keys
+    # an overfull bucket is dealt into parts, each of which meets itself and every other: all its pairs are compared
     hot = materialize(sizes.where(F.col("n") > task_rows), "hot-buckets")
-    where = ["level", "band", "key"]
+    where, units = ["level", "band", "key"], ["level", "band", "key", "p", "q"]
     if hot.isEmpty():
-        placed = entries.select(*where, F.lit(0).alias("part"), "id", "half")
+        placed, total = entries.select(*where, *[F.lit(0).alias(c) for c in ("p", "q", "side")], "id", "half"), n * bands
     else:
-        parts = F.ceil(F.col("n") / (task_rows - min(PIVOTS, task_rows // 2))).cast("int")
-        rank = F.xxhash64("id", F.lit(3))
-        sized = entries.join(hot, where, "left").withColumn("parts", F.coalesce(parts, F.lit(1)))
-        deal = sized.select(*where, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "half")
-        inside = entries.join(hot.select(*where), where)
-        pivots = inside.withColumn("r", F.row_number().over(Window.partitionBy(*where).orderBy(rank))).where(F.col("r") <= PIVOTS)
-        pivots = pivots.join(hot, where).select(*where, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "id", "half")
-        keys = signed.select("level", "id", F.col("keys").alias("all"))
-        longer = inside.join(keys, ["level", "id"]).select(
-            "level", "band", F.explode(F.array(*[F.xxhash64("key", *[F.col("all")[F.pmod(F.col("band") + 1 + s * 7 + j, F.lit(bands)).cast("int")] for j in range(2)], F.lit(s)) for s in range(4)])).alias("key"), F.lit(-1).alias("part"), "id", "half"
-        )
-        # a longer key may itself be overfull only where its rows agree in almost everything: their pivots link them
-        extra = materialize(longer, "longer-keys")
-        full = extra.groupBy(*where).agg(F.count("*").alias("n")).where(F.col("n") > task_rows)
-        placed = deal.unionByName(pivots).unionByName(extra.join(full.select(*where), where, "left_anti"))
-    ranged = placed.repartition(width(spark, n * bands, 60_000), *where, "part").sortWithinPartitions(*where, "part")
-    links = ranged.select(*where, "part", "id", "half").mapInArrow(in_buckets(least), "level int, u bigint, v bigint, degree bigint")
+        parts = F.ceil(F.col("n") / (task_rows // 2)).cast("int")
+        total = n * bands + int(hot.agg(F.sum(F.col("n") * parts)).first()[0])
+        own = F.pmod(F.xxhash64("id", "band", "key"), F.col("parts")).cast("int")
+        spread = entries.join(hot, where, "left").withColumn("parts", F.coalesce(parts, F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        placed = spread.select(*where, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "half")
+    ranged = placed.repartition(width(spark, total, 60_000), *units).sortWithinPartitions(*units)
+    links = ranged.select(*units, "side", "id", "half").mapInArrow(in_buckets(least), "level int, u bigint, v bigint, degree bigint")
     links = materialize(links.groupBy("level", "u", "v").agg(F.sum("degree").alias("degree"), F.min("degree").alias("least")), "links")
     sure = links.where("degree > 0").select("level", "u", "v", "degree")
     doubt = links.where("degree < 0").select("level", "u", "v")
@@ -223,9 +237,8 @@ def components(units: DataFrame, least: float = LEAST, dim: int = DIM) -> tuple[
 
     Cases: unusable vectors belong to no group; exact copies are linked to the
     smallest id among them and compared once; equal scores need no order; an empty
-    level gives no rows. Every pair of a bucket is verified; an overfull bucket
-    is dealt into parts that share ``PIVOTS`` vectors, and its rows meet again under
-    longer keys.
+    level gives no rows. Every pair of a bucket is verified, in an overfull one
+    block by block.
     """
     _, distinct, copies = with_copies(units, "level")
     links = materialize(similar_links(distinct, least, dim), "similar-links")

@@ -128,3 +128,19 @@ def test_clusters_split_loose_groups(spark):
     assert sum(r["size"] for r in got) == 10
     assert sorted(r["size"] for r in got)[-1] <= 3
     assert {tuple(r.typical) for r in got if r.medoid == 50} == {(50, 51)}
+
+
+def test_overfull_buckets_compare_all_pairs(spark, monkeypatch):
+    # all in one cone, so that most share their buckets; the pairs are close to each other only
+    rng = np.random.default_rng(8)
+    x = 1.6 * np.eye(64)[0] + rng.standard_normal((700, 64)) / 8
+    twin = x[:100] + 0.055 * rng.standard_normal((100, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, twin]))]
+    u = np.array([v for _, v in rows], np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    least = 0.88
+    monkeypatch.setattr(clusters, "bands_for", lambda n, least: (0, 1))  # one bucket, 20 parts
+    monkeypatch.setattr(clusters, "bucket_for", lambda n: 40)
+    got = {(r.first_id, r.member_id) for r in clusters.similarity_groups(both(spark, rows), least).where("level = 0").collect()}
+    label = truth(u, least)
+    assert got == {(int(f), i) for i, f in enumerate(label) if f != i} and len(got) > 50
