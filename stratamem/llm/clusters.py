@@ -35,6 +35,8 @@ TASK_BUCKETS = 2
 MISS = 0.002
 #: Half-precision products err by less than this; pairs so near the threshold are looked up exactly.
 DOUBT = 5e-4
+#: Members of a group that are tried as medoids in the first round, and at most in later ones; members that one task compares with them.
+TRIED, TRIED_MOST, SPREAD = 64, 4096, 20_000
 
 
 def bucket_for(n: int) -> int:
@@ -252,31 +254,97 @@ def similarity_groups(units: DataFrame, least: float = LEAST, dim: int = DIM) ->
     return groups.where("node <> component").select("level", F.col("component").alias("first_id"), F.col("node").alias("member_id"))
 
 
-def clusters(units: DataFrame, least: float = LEAST, typical: int = 3, rounds: int = 40, dim: int = DIM) -> DataFrame:
+def chosen(least: float):
+    """Over members sorted by group and rank: those not similar to a chosen one before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, np.zeros((0, 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks, x = np.stack([np.asarray(c) for c in batch.columns[:2]], axis=1), matrix(batch.column(4)).astype(np.float64)
+            kept = []
+            for i in range(len(x)):
+                if group is None or (marks[i] != group).any():
+                    group, held, count = marks[i], np.empty((16, x.shape[1])), 0
+                if not count or (held[:count] @ x[i]).max() < least:
+                    if count == len(held):
+                        held = np.concatenate([held, np.empty_like(held)])
+                    held[count] = x[i]
+                    count += 1
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def around(least: float):
+    """Over rows sorted by group and share, medoids (by rank) before members: each member with the first medoid similar to it, else none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, x, medoids = None, [], [], np.zeros((0, 0))
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            marks, member = np.stack([np.asarray(c) for c in batch.columns[:3]], axis=1), np.asarray(batch.column(3)) == 1
+            own, vecs = np.asarray(batch.column(5)), matrix(batch.column(7)).astype(np.float64)
+            medoid, cosine, none = np.zeros(n, dtype=np.int64), np.zeros(n), np.ones(n, dtype=bool)
+            edges = np.r_[0, np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1) | (member[1:] != member[:-1])) + 1, n]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if group is None or (marks[a] != group).any():
+                    group, ids, x = marks[a], [], []
+                if not member[a]:
+                    ids.append(own[a:b])
+                    x.append(vecs[a:b])
+                    continue
+                names, medoids = np.concatenate(ids), np.concatenate(x)
+                for i in range(a, b, 512):
+                    scores = vecs[i : min(i + 512, b)] @ medoids.T
+                    near = scores >= least
+                    near |= own[i : min(i + 512, b), None] == names[None, :]  # a medoid is its own, however its length was rounded
+                    at = np.where(near.any(axis=1), near.argmax(axis=1), 0)
+                    rows = np.arange(len(at))
+                    medoid[i : i + len(at)], cosine[i : i + len(at)], none[i : i + len(at)] = names[at], scores[rows, at], ~near[rows, at]
+            rows = pa.array(np.flatnonzero(member))
+            columns = [*(batch.column(i) for i in (0, 1, 5, 6, 7)), pa.array(medoid, mask=none), pa.array(cosine)]
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], ["level", "component", "id", "degree", "vec", "medoid", "cosine"])
+
+    return run
+
+
+def clusters(units: DataFrame, least: float = LEAST, typical: int = 3, dim: int = DIM) -> DataFrame:
     """``(level, medoid, size, mean_cosine, typical)``: all usable vectors divided into clusters.
 
     A group whose members are not all similar to its medoid, the member of highest
     degree, is loose: those similar to the medoid stay, and the rest form around the
-    next medoid, until all are placed (after ``rounds`` the rest of a group stays
-    together). Unlinked vectors are clusters of one. ``size`` counts copies;
-    ``typical`` lists the ids nearest the medoid, ties by id.
+    next medoid, until all are placed. A round tries the next ``TRIED`` members of
+    each group at once, later rounds more, with the result of one at a time.
+    Unlinked vectors are clusters of one. ``size`` counts copies; ``typical`` lists
+    the ids nearest the medoid, ties by id.
     """
+    spark = units.sparkSession
     distinct, copies, links, groups = components(units, least, dim)
     degree = links.groupBy("level", F.col("u").alias("id")).agg(F.sum("degree").alias("degree"))
     member = groups.withColumnRenamed("node", "id").join(distinct, ["level", "id"]).join(degree, ["level", "id"], "left").fillna(0, ["degree"])
     open_ = materialize(member.select("level", "component", "id", "degree", "vec"), "open")
-    done = []
-    for turn in range(rounds + 1):
-        medoid = open_.groupBy("level", "component").agg(F.max_by(F.struct("id", "vec"), F.struct("degree", -F.col("id"))).alias("m"))
-        pairs = open_.join(medoid, ["level", "component"]).select("level", "component", "id", "degree", F.col("m.id").alias("medoid"), "vec", F.col("m.vec").alias("mvec"))
-        scored = materialize(with_cosine(pairs.select("level", "component", "id", "degree", "medoid", F.col("vec").alias("v2"), F.col("vec").alias("x"), F.col("mvec").alias("y")), "level int, component bigint, id bigint, degree bigint, medoid bigint, v2 binary"), "around-medoids")
-        near = F.lit(True) if turn == rounds else F.col("cosine") >= least
-        done.append(scored.where(near).select("level", "medoid", "id", "cosine"))
-        open_ = scored.where(~near).select("level", "component", "id", "degree", F.col("v2").alias("vec"))
-        if open_.isEmpty():
-            break
-    placed = done[0]
-    for part in done[1:]:
+    group = ["level", "component"]
+    done, tried = [], TRIED
+    while n := open_.count():
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("degree"), "id"))
+        first = open_.select(*group, rank.alias("rank"), "id", "vec").where(F.col("rank") <= tried)
+        medoids = materialize(first.repartition(*group).sortWithinPartitions(*group, "rank").mapInArrow(chosen(least), "level int, component bigint, rank int, id bigint, vec binary"), "medoids")
+        shares = open_.groupBy(*group).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("shares"))
+        asked = medoids.join(shares, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"), "rank", "id", F.lit(0).cast("bigint").alias("degree"), "vec")
+        rows = open_.join(shares, group).select(*group, F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("member"), F.lit(0).alias("rank"), "id", "degree", "vec")
+        order = [*group, "share"]
+        both = asked.unionByName(rows).repartition(width(spark, n, 60_000), *order).sortWithinPartitions(*order, "member", "rank")
+        scored = materialize(both.mapInArrow(around(least), "level int, component bigint, id bigint, degree bigint, vec binary, medoid bigint, cosine double"), "around-medoids")
+        done.append(scored.where("medoid is not null").select("level", "medoid", "id", "cosine"))
+        open_ = scored.where("medoid is null").drop("medoid", "cosine")
+        tried = min(2 * tried, TRIED_MOST)
+    placed = distinct.limit(0).select("level", F.col("id").alias("medoid"), "id", F.lit(1.0).alias("cosine"))
+    for part in done:
         placed = placed.unionByName(part)
     alone = distinct.join(groups.select("level", F.col("node").alias("id")), ["level", "id"], "left_anti").select("level", F.col("id").alias("medoid"), "id", F.lit(1.0).alias("cosine"))
     placed = placed.unionByName(alone)

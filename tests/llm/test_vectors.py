@@ -144,3 +144,25 @@ def test_overfull_buckets_compare_all_pairs(spark, monkeypatch):
     got = {(r.first_id, r.member_id) for r in clusters.similarity_groups(both(spark, rows), least).where("level = 0").collect()}
     label = truth(u, least)
     assert got == {(int(f), i) for i, f in enumerate(label) if f != i} and len(got) > 50
+
+
+def test_a_group_of_many_medoids_ends_in_clusters_of_similar_vectors(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "TRIED", 4)
+    monkeypatch.setattr(clusters, "TRIED_MOST", 16)
+    monkeypatch.setattr(clusters, "SPREAD", 50)
+    # a chain through 63 orthogonal directions: one group, and each medoid reaches few
+    steps = [np.cos(t) * np.eye(64)[k] + np.sin(t) * np.eye(64)[k + 1] for k in range(62) for t in (0, 0.5, 1.0)]
+    rows = [(i, v.tolist()) for i, v in enumerate(steps)]
+    none = spark.createDataFrame([], "node_id bigint, level int, super_embedding array<float>, loaded_at timestamp_ntz")
+    units = clusters.levels(table(spark, rows), none)
+    got = clusters.clusters(units).collect()
+    u = np.array(steps, np.float32).astype(float)
+    near = u @ u.T >= 0.8
+    open_, want = set(range(len(u))), {}
+    order = sorted(open_, key=lambda i: (-near[i].sum(), i))
+    for i in order:
+        if i in open_:
+            want[i] = sum(near[i, j] for j in open_)
+            open_ -= {j for j in open_ if near[i, j]}
+    assert len(want) > 41 and {r.medoid: r["size"] for r in got} == want
+    assert min(r.mean_cosine for r in got) >= 0.8
