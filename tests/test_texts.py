@@ -80,6 +80,12 @@ def test_kg(spark):
     assert {r.name: r.linked for r in K.link_entities(rows, 0.8).collect()} == {"lantern": "lantern", "lanterns": "lantern", "quay": "quay"}
 
 
+def test_names_that_differ_at_the_front_are_linked(spark):
+    names = ["northern harbour archive", "enorthern harbour archive", "quay", "Northern harbour archive"]
+    rows = spark.createDataFrame([("d", n, i, ["entity"]) for i, n in enumerate(names)], "doc_id string, name string, chunk_id bigint, types array<string>")
+    assert {r.name: r.linked for r in K.link_entities(rows).collect()} == {n: "quay" if n == "quay" else names[0] for n in names}
+
+
 def test_models_are_deterministic(spark):
     backend = M.OfflineBackend()
     assert backend.complete("gist", [{"passage": "First one. Second."}]) == ["First one."]
