@@ -40,10 +40,18 @@ def conversation_chunks(spark, d):
     return C.chunk_texts(turns.select(F.col("doc_id").alias("book_id"), "text"), SIZE, turns=True)
 
 
+def split_turn_chunks(spark, d):
+    """One chunk a turn, cut where it is longer than the size."""
+    chat = table(spark, d, "documents").where(F.lower(F.trim("source")) == "chat_sessions")
+    return C.chunk_texts(chat.select(F.col("doc_id").alias("book_id"), "text"), 16, turns=True, single=True)
+
+
 def information_preserved(spark, d):
-    """Books whose chunks do not have their tokens; none may come out."""
-    chunks = book_chunks(spark, d).groupBy("book_id").agg(F.sum("n_tokens").alias("kept"))
-    return token_totals(spark, d).join(chunks, "book_id").where("kept <> n_tokens").select("book_id", "n_tokens", "kept")
+    """Characters of each book that are no blanks, before and after it was cut into chunks."""
+    inked = lambda c: F.length(F.regexp_replace(c, "[ \\t\\n\\r\\f\\x0b]", ""))
+    chunks = book_chunks(spark, d).groupBy("book_id").agg(F.sum(inked("text")).alias("kept"))
+    whole = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("book_id"), inked("text").cast("bigint").alias("characters"))
+    return whole.join(chunks, "book_id", "left").select("book_id", "characters", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 def turns(spark, d):
@@ -221,7 +229,7 @@ def entity_type_similarity(spark, d):
 
 
 QUERIES = (
-    paragraph_split, greedy_token_chunks, token_totals, book_chunks, conversation_chunks, information_preserved, turn_chunks, session_book, normalize_answer, token_f1,
+    paragraph_split, greedy_token_chunks, token_totals, book_chunks, conversation_chunks, split_turn_chunks, information_preserved, turn_chunks, session_book, normalize_answer, token_f1,
     exact_match, max_over_references, rouge1, rouge2, rougeL, claim_confusion_f1, grouped_metrics_overall, last_wins_lookup, contiguous_merge, entity_list_parse,
     record_titles, filename_sanitize_dedupe, corpus_texts, title_documents, json_fallback_parse, required_fields, seeded_sample, skip_existing, entity_type_similarity,
 )
@@ -266,7 +274,7 @@ nullif(left({TRIM.format("string_split(" + TRIM.format("coalesce(body, '')") + "
 SELECT p.doc_id, p.k, CASE WHEN g.total + p.n <= {SIZE} THEN g.chunk ELSE g.chunk + 1 END, CASE WHEN g.total + p.n <= {SIZE} THEN g.total + p.n ELSE p.n END FROM g JOIN parts p ON p.doc_id = g.doc_id AND p.k = g.k + 1)
 SELECT doc_id AS book_id, chunk AS chunk_id, count(*) AS n_parts, max(total) AS n_tokens FROM g GROUP BY doc_id, chunk""",
         "token_totals": f"WITH {COUNTS} SELECT d.doc_id AS book_id, count(n) AS paragraphs, coalesce(sum(n), 0) AS n_tokens FROM documents d LEFT JOIN parts USING (doc_id) WHERE text IS NOT NULL GROUP BY d.doc_id",
-        "information_preserved": "SELECT 0 AS book_id, 0 AS n_tokens, 0 AS kept WHERE false",
+        "information_preserved": r"SELECT doc_id AS book_id, length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')) AS characters, length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')) AS kept FROM documents WHERE text IS NOT NULL",
         "turn_chunks": f"WITH {TURNS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS chunk_id, role || ': ' || content AS text FROM turns WHERE session IS NULL",
         "session_book": f"""WITH {TURNS}, s AS (SELECT *, max(CASE WHEN session IS NOT NULL THEN {{'s': session, 'd': date}} END) OVER (PARTITION BY doc_id ORDER BY idx) AS h FROM turns)
 SELECT doc_id, h.s AS session, 'Session ' || coalesce(h.s::VARCHAR, '0') || ' (' || coalesce(h.d, '') || '):' || chr(10) || string_agg(role || ': ' || content, chr(10) ORDER BY idx) AS text

@@ -47,12 +47,42 @@ def test_total_is_told_apart_from_a_group_of_that_name(spark):
     assert [(r.is_total, r.n) for r in got] == [(0, 1), (0, 1), (1, 2)]
 
 
-def test_truncate_prefers_sentences_then_clauses_then_blanks():
-    head, tail = C.head_and_tail("One two. Three four. Five six.", 5)
-    assert head == "One two. Three four." and head + tail == "One two. Three four. Five six."
-    assert C.head_and_tail("a b, c d, e f", 4)[0] == "a b,"
-    head, tail = C.head_and_tail("a b c d e f", 3)
-    assert C.ws_count(head) <= 3 and head + tail == "a b c d e f"
+def cut(text, size):
+    return text[: C.Ruled(text).cut(0, len(text), size)]
+
+
+def test_cuts_prefer_sentences_then_clauses_then_blanks():
+    assert cut("One two. Three four. Five six.", 5) == "One two. Three four."
+    assert cut("a b, c d, e f", 4) == "a b,"
+    assert cut("a b c d e f", 3) == "a b "
+    assert cut('He said "no." Then he left. It rained.', 4) == 'He said "no."'
+    assert cut("x" * 50 + " tail end", 1) == "x" * 50 + " "
+
+
+def test_turns_repeat_their_speaker_and_no_chunk_is_empty():
+    assert C.pack(["a b c"], 3, ["user"]) == ["user: a b c"]
+    assert C.pack(["hello there", "One two three. Four, five six. Seven. Eight nine ten", "y z"], 6, ["user", "bot", "user"]) == [
+        "user: hello there\nbot: One two ", "bot: three. Four, five six.", "bot:  Seven. Eight nine ten", "user: y z",
+    ]
+    assert C.split_turn("user", "One two three. Four", 9) == ["user: One two three. Four"]
+    assert C.split_turn("user", "One two three. Four, five six. ", 4) == ["user: One two three.", "user:  Four, five six. "]
+    assert C.split_turn("user", "", 4) == ["user: "]
+
+
+def test_byte_pairs_can_be_counted_instead():
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary")
+    starts = C.bpe_starts(path)
+    text = "Naïve words here. " * 40 + "清晨图书管理员 " * 20
+    got = C.pack([text], 30, starts=starts)
+    assert "".join(got) == text and max(len(starts(c)) for c in got) <= 33
+
+
+def test_a_long_paragraph_is_cut_in_linear_time():
+    text = "word " * 100_000 + "3.5 " * 100_000
+    got = C.pack([text], 64)
+    assert "".join(got) == text and max(map(C.ws_count, got)) <= 64
 
 
 @pytest.mark.parametrize("size", [1, 3, 7, 50])
