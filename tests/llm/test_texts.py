@@ -107,6 +107,25 @@ def test_renamed_short_questions_and_slots_of_a_run(spark):
     assert got == {(1, 1): ("renamed", 22), (2, 2): ("renamed", 29)}
 
 
+def test_a_template_of_many_items_joins_only_whole_leaks(spark, monkeypatch):
+    # 60 items that share most of their template; each is leaked once, half of them with other names
+    frame = "In spring the miller {0} counted {1} lanterns near the old mill while the cafe owner {2} painted the slow bridge with {0} and said that {3} would come before rain fell"
+    name = lambda k: "".join("bdfglmnprst"[(k // 11**i) % 11] + "aeiou"[(k + i) % 5] for i in range(3)).capitalize()
+    text = lambda k: frame.format(name(k), 3 + k, name(500 + k), name(900 + k))
+    asked = [(i, None, text(i) + f" on the {'red' if i % 2 else 'blue'} hill") for i in range(60)]
+    torn = frame.format("Gora", 9, "Gora", "Tilo")  # two names in one: no item has such slots
+    rows = [(i, "x y. " + text(i) + " z", "s") for i in range(60)] + [(100, text(5000), "s"), (101, torn, "s"), (102, "<a title='" + "lantern mill " * 40 + "'>" + text(3).replace("lanterns", "lan<b class='" + "z" * 300 + "'>terns"), "s")]
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(documents(spark, rows), items(spark, asked)).collect()}
+    assert {k for k, r in got.items() if r.leak == "verbatim"} == {(i, i) for i in range(60)} | {(102, 3)}
+    assert {k for k in got if k[0] == 100} == {(100, i) for i in range(60)} and not [k for k in got if k[0] == 101]
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 10)
+    again = {(r.doc_id, r.item_id): r for r in leakage.leaks(documents(spark, rows), items(spark, asked)).collect()}
+    assert again == got
+    monkeypatch.setattr(leakage, "ITEM_CHARACTERS", 10)
+    with pytest.raises(ValueError, match="ask in parts"):
+        leakage.leaks(documents(spark, rows), items(spark, asked))
+
+
 # mixing
 
 
