@@ -65,5 +65,5 @@ def latest(df: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def width(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Partitions for CPU-bound stages, whose small bytes would otherwise be coalesced into too few tasks."""
-    return int(max(spark.sparkContext.defaultParallelism, min(20000, -(-rows // per_task))))
+    """Partitions for CPU-bound stages, whose small bytes would otherwise be coalesced into too few tasks; a task holds ``per_task`` rows however many there are."""
+    return int(max(spark.sparkContext.defaultParallelism, -(-rows // per_task)))
