@@ -109,21 +109,20 @@ def inverse(kind: int) -> Callable[[str], str]:
 
 
 def restored(token: str, kind: int) -> str:
-    """Undo a swap as often as it was made (four times at most)."""
+    """Undo a swap as often as it was made."""
     undo = inverse(kind)
     if kind > len(UTF8_READ_AS):
         return undo(token)
-    for _ in range(4):
-        out = undo(token)
-        if out == token:
-            break
-        token = out
+    seen = set()
+    while token not in seen:
+        seen.add(token)
+        token = undo(token)
     return token
 
 
 def unescaped(token: str) -> str:
-    """Entities, percent and backslash escapes resolved, twice over at most."""
-    for _ in range(2):
+    """Entities, percent and backslash escapes resolved, as often as they were made: every one is longer than what it stands for."""
+    while True:
         out = html.unescape(token) if "&" in token else token
         if "\\" in out:
             out = ESCAPED.sub(lambda m: chr(int(m.group(1) or m.group(2), 16)), out)

@@ -37,8 +37,8 @@ TREES, MARGIN, SHARD = 4, 10, 2048
 WORTH = 0.85
 #: The trees are built on so many fingerprints at most; shards beyond TASK_ROWS are compared in blocks.
 FIT_ROWS, TASK_ROWS = 20_000, 16_384
-#: Copies of one text that are paired with each other and with the text's near-duplicates one by one.
-EXPANDED = 64
+#: Copies of one text that one task takes from a side when they are paired.
+COPY_ROWS = 20_000
 MULTIPLIERS = mixed(np.arange(1, BITS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -266,22 +266,25 @@ def near_duplicates(records: DataFrame, key: str, text: str, least: float = LEAS
 
 
 def found_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
-    """``(a, b)``, ``a < b``: near-duplicate records, each pair once.
+    """``(a, b)``, ``a < b``: all pairs of near-duplicate records, copies included, each pair once.
 
-    Groups of up to ``EXPANDED`` copies stand for all their records; of a larger one
-    the pairs run to the record with the smallest id, which alone is then paired with
-    other texts, so that a text delivered a million times gives a million links.
+    The result is one row a pair by definition, so a text of ``n`` copies gives
+    ``n * (n - 1) / 2``; :func:`groups` tells the same in one row a record. The pairs
+    come from joins on the group of copies, of which a task holds ``COPY_ROWS`` a side.
     """
     pairs, copies = near_duplicates(records, key, text)
-    sizes = copies.groupBy("rep").agg(F.count("*").alias("n"))
-    small = copies.join(sizes.where(F.col("n") < EXPANDED), "rep")
-    lists = small.groupBy("rep").agg(F.collect_list("id").alias("others")).select("rep", F.concat(F.array("rep"), "others").alias("ids"))
-    a, b = lists.withColumnsRenamed({"rep": "a", "ids": "as"}), lists.withColumnsRenamed({"rep": "b", "ids": "bs"})
-    between = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
-    between = between.select(F.explode(F.coalesce("as", F.array("a"))).alias("a"), "b", "bs").select("a", F.explode(F.coalesce("bs", F.array("b"))).alias("b"))
-    within = lists.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a < b")
-    star = copies.join(lists.select("rep"), "rep", "left_anti").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within).unionByName(star)
+    sizes = copies.groupBy("rep").agg(F.ceil((F.count("*") + 1) / COPY_ROWS).cast("int").alias("shares"))
+    member = copies.unionByName(sizes.select(F.col("rep").alias("id"), "rep")).join(sizes, "rep")
+    member = materialize(member.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")), "copy-members")
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    within = member.select("rep", "share", F.col("id").alias("a")).join(member.select("rep", every.alias("share"), F.col("id").alias("b")), ["rep", "share"]).where("a < b").select("a", "b")
+    between = pairs.select("a", "b")
+    for side in ("a", "b"):
+        own = member.select(F.col("rep").alias(side), "share", "id")
+        spread = between.join(sizes.withColumnRenamed("rep", side), side, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+        other = "b" if side == "a" else "a"
+        between = spread.join(own, [side, "share"], "left").select(F.coalesce("id", side).alias(side), other)
+    return between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
 
 
 def groups(records: DataFrame, key: str, text: str) -> DataFrame:

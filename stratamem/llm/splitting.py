@@ -2,7 +2,9 @@
 
 The least number of pieces is computed, targets of equal length are placed and
 each is snapped to the strongest boundary near it. When a limit fails (a cut
-finds no sentence end within reach) the text is tried again with more pieces.
+finds no sentence end within reach) the text is tried again with more pieces; where
+that does not help, each cut is placed at the farthest sentence end instead, so that
+none is missed that the limits allow.
 """
 
 from __future__ import annotations
@@ -35,6 +37,26 @@ def joined(text: str, at: int) -> bool:
     return unicodedata.combining(c) != 0 or c in "‍️︎" or "\U0001f3fb" <= c <= "\U0001f3ff" or text[at - 1] == "‍"
 
 
+def farthest_cuts(text: str, size: int, overlap: int, found: list[list[int]]) -> tuple[int, list[int]]:
+    """Cuts at the farthest sentence end within each piece, weaker places only where there is none; how many those are, and the ends."""
+    length, end, weak, ends = len(text), 0, 0, []
+    kinds = [sorted(set().union(*found[: PAUSE + 1])), *found[PAUSE + 1 :]]
+    while length > (high := end - overlap + size if end else size):
+        low = max(end, overlap) + 1
+        for rank, places in enumerate(kinds):
+            k = bisect_right(places, high)
+            if k and places[k - 1] >= low:
+                end = places[k - 1]
+                weak += rank > 0
+                break
+        else:
+            end, weak = high, weak + 1
+            while end > low and end > high - 32 and joined(text, end):
+                end -= 1
+        ends.append(end)
+    return weak, ends
+
+
 def cuts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """``(start, end)`` of each piece: at most ``size`` long, the next starting ``overlap`` before the end.
 
@@ -83,6 +105,10 @@ def cuts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
             break
         n = max(n + 1, n * 8 // 7)
     assert best is not None
+    if best[0][0]:
+        weak, ends = farthest_cuts(text, size, overlap, found)
+        if weak < best[0][0]:
+            best = ((weak, len(ends) + 1), [*ends, length])
     starts = [0, *(e - overlap for e in best[1][:-1])]
     return list(zip(starts, best[1], strict=True))
 

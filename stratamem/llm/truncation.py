@@ -178,6 +178,14 @@ def hidden_limits(sized: DataFrame) -> DataFrame:
     return seen.where(pile & ((F.col("above") == 0) | peak)).select("gist_source", "encoding", "limit", "at_limit", "texts")
 
 
+def begun(last: DataFrame, known: DataFrame) -> DataFrame:
+    """``(last)``: those that begin a longer known item; joined at each length that occurs, so an item of any length counts."""
+    sizes = [r.n for r in last.select(F.length("last").alias("n")).distinct().collect()]  # three words at most: a bounded number of lengths
+    cut = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>"), lambda n: n < F.length("item"))
+    heads = known.select(F.explode(F.transform(cut, lambda n: F.left("item", n))).alias("last")).distinct()
+    return last.join(heads, "last", "left_semi")
+
+
 def truncated(metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(cut, report, limits)``.
 
@@ -204,7 +212,7 @@ def truncated(metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     open_ = ends.where("state = 'list'")
     # an item is cut if it is unknown and begins a known one
     last = open_.select("last").distinct()
-    starts = known.select(F.explode(F.expr("transform(sequence(1, least(length(item), 24)), i -> left(item, i))")).alias("last"), "item").where("item <> last").select("last").distinct()
+    starts = begun(last, known)
     # known items stay apart from what only begins them; both sides are vocabularies
     judged = last.join(known.select(F.col("item").alias("last"), F.lit(True).alias("is_known")), "last", "left").join(starts.withColumn("begins", F.lit(True)), "last", "left")
     at_limit = possible_lengths(open_, "chunk_id", "gist_source").join(limits.select("gist_source", "encoding", "limit"), ["gist_source", "encoding", "limit"], "left_semi").select("chunk_id").distinct().withColumn("full", F.lit(True))

@@ -29,6 +29,20 @@ def test_pieces_keep_limits_overlap_and_text(text, size, overlap):
     assert rebuilt == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=2, max_size=40), st.integers(12, 60), st.integers(0, 11))
+def test_no_sentence_end_is_missed_that_the_limits_allow(lengths, size, overlap):
+    text = " ".join("a" * n + "." for n in lengths)
+    ends = [i + 1 for i, c in enumerate(text) if c == "."]
+    step, reached = size - overlap, {0}
+    for e in ends:  # by brute force: can a piece that ends here follow one that ended before?
+        if e > overlap and any((e <= size if p == 0 else e <= p + step) for p in reached):
+            reached.add(e)
+    possible = any(len(text) <= (size if p == 0 else p + step) for p in reached)
+    got = [b for _, b in splitting.cuts(text, size, overlap)][:-1]
+    assert not possible or set(got) <= set(ends)
+
+
 def test_cuts_fall_on_sentence_ends_where_they_can():
     text = " ".join(f"Sentence number {i} ends here." for i in range(100))
     assert all(text[b - 1] == "." for _, b in splitting.cuts(text, 200, 20))

@@ -53,14 +53,16 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, shard, task):
     assert got <= want and len(got) >= len(want) - (1 if shard < 100 else 0)
 
 
-def test_many_copies_give_a_star_and_empty_gives_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "EXPANDED", 4)
+def test_many_copies_give_all_pairs_and_empty_gives_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COPY_ROWS", 16)
     text = prose(50, 1)
-    df = corpus(spark, [(i, text) for i in range(20)] + [(50, edited(text, 1, 3))])
-    got = {(r.a, r.b) for r in near_duplicates.found_pairs(df, "rec_id", "body").collect()}
-    assert got == {(0, i) for i in range(1, 20)} | {(0, 50)}
+    near = edited(text, 1, 3)
+    df = corpus(spark, [(i, text) for i in range(70)] + [(100, near), (101, near)])
+    got = [(r.a, r.b) for r in near_duplicates.found_pairs(df, "rec_id", "body").collect()]
+    ids = [*range(70), 100, 101]
+    assert sorted(got) == [(a, b) for a in ids for b in ids if a < b]
     rows = near_duplicates.groups(df, "rec_id", "body").collect()
-    assert {(r.group_id, r["size"]) for r in rows} == {(0, 21)} and len(rows) == 21
+    assert {(r.group_id, r["size"]) for r in rows} == {(0, 72)} and len(rows) == 72
     assert near_duplicates.found_pairs(df.limit(0), "rec_id", "body").count() == 0
 
 
@@ -167,6 +169,17 @@ def test_swaps_are_undone_exactly():
         assert encodings.restored(garbled, kind) == text, name
 
 
+def test_layers_and_escapes_are_undone_as_often_as_they_were_made():
+    text = "für"
+    for _ in range(7):
+        text = text.encode().decode("latin-1")
+    assert encodings.restored(text, 1) == "für"
+    escaped = "ü"
+    for _ in range(5):
+        escaped = escaped.replace("&", "&amp;").replace("ü", "&uuml;")
+    assert encodings.unescaped(escaped) == "ü"
+
+
 def test_garbled_documents_are_found_and_put_right(spark):
     r = random.Random(3)
     sentence = lambda: " ".join(r.sample(CLEAN.split(), 12))
@@ -217,6 +230,12 @@ def test_truncated(spark):
     assert all(p.count() == 0 for p in truncation.truncated(df.limit(0)))
 
 
+def test_a_long_item_is_known_by_its_beginning(spark):
+    long = "extraordinarily-ornamented-lighthouse-lantern"
+    rows = [(i, f"Topics: {long}; oar{i % 3}; kettle", None, "a") for i in range(6)] + [(10, f"Topics: kettle; {long[:33]}", None, "a")]
+    assert [r.chunk_id for r in truncation.truncated(metadata(spark, rows))[0].collect()] == [10]
+
+
 def test_a_limit_shows_below_a_few_longer_texts(spark):
     cut_bytes = lambda text, n: text.encode()[:n].decode("utf-8", "replace")
     short = [(i, prose(3 + i % 9, i) + ".", None, "c") for i in range(300)]
