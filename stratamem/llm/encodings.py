@@ -1,12 +1,17 @@
 """Text decoded with the wrong character encoding, as a substitution cipher.
 
 A swap of code pages turns every letter beyond ASCII into a symbol of one or more
-characters. Which swap a token went through is unknown; candidates are inverted by
-the code pages' tables, and expectation-maximisation weighs them, per source and then per document: the
-E-step scores the candidate letters of every token by character bigrams of the
-language, the M-step re-estimates the bigrams, how often each source suffers each
-swap and so which letter each of its symbols stands for. Single-character symbols
-are put right by ``str.translate``, longer ones by their pattern.
+characters. Which swap a source suffered is unknown, so each source gets its own
+table from symbols to letters, learned by expectation-maximisation against the
+language's bigrams (:func:`ciphers`): the E-step tells for every symbol between two
+known characters which letter may stand there, or whether it stands for itself; the
+M-step re-estimates the table and how often the source is garbled at all. The table
+is applied by ``str.translate``, and by pattern where a symbol has several characters.
+
+Sources suffer several swaps, and rare symbols tell little by themselves. Known pairs
+of code pages therefore seed further tables, which a second round of EM weighs by
+source and by document together with the learned one; a token is changed only where
+the letters win by ``NATS`` over what stands there.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +41,22 @@ SWAPS = (
     ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp866", "cp1252"), ("cp1251", "cp866"), ("cp1252", "cp437"),
     ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("gbk", "cp1252"), ("iso8859-2", "cp1252"),
 )
-NAMES = ("none", *(f"utf-8 read as {w}" for w in UTF8_READ_AS), *(f"{t} read as {w}" for t, w in SWAPS))
+NAMES = ("none", *(f"utf-8 read as {w}" for w in UTF8_READ_AS), *(f"{t} read as {w}" for t, w in SWAPS), "learned")
+#: The kind that applies the table learned for the source.
+LEARNED = len(NAMES) - 1
+#: A run of so many characters beyond ASCII is one symbol; symbols seen less often in a source are not deciphered.
+SYMBOL = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f]{1,3}(?![^\x00-\x7f])")
+SEEN = 5
+#: Letters a symbol may stand for: the most frequent single characters of those seen so often; symbols whose use by all sources is told apart.
+LETTERS, LETTER_SEEN, SYMBOLS = 256, 10, 1024
+#: Rounds of EM over the tables. Share of garbled symbols at first, symbols a letter is spread over at first.
+TABLE_ROUNDS, GARBLED, SPREAD = 12, 0.02, 128
+#: Weight of the general contexts in those of one symbol; how often one that no other source has is taken to stand for itself.
+SMOOTH, ALONE = 5.0, 0.5
+#: A letter that other sources use stands for itself unless a source has so many times their share.
+FOREIGN = 20
+#: A symbol has a letter if so much of what it does not stand for itself is that letter's.
+CLEAR = 0.6
 #: Prior of a swap before anything is learned, weight of the prior in tokens, nats by which a swap must win.
 PRIOR, PRIOR_TOKENS, NATS = 1e-3, 20.0, 3.0
 #: Rounds over the vocabulary, and within a document whose tokens share their swaps; what the source's rates weigh there in tokens.
@@ -200,7 +222,7 @@ def candidates(token: str) -> list[tuple[int, str]]:
         if not c.isascii():
             mask |= kinds_of(c)
     paired = PAIR.search(token) is not None
-    for kind in range(1, len(NAMES)):
+    for kind in range(1, LEARNED):
         if mask >> kind & 1 and (paired or kind >= len(UTF8_READ_AS)):
             letters = restored(token, kind)
             if letters != token:
@@ -209,7 +231,169 @@ def candidates(token: str) -> list[tuple[int, str]]:
 
 
 def scored(token: str, model: Language) -> list[tuple[int, str, float]]:
-    return [(k, t, model.score(t)) for k, t in candidates(token)]
+    """The candidates with their scores; those with a character that the language does not know are left out."""
+    scores: dict[str, float] = {}
+    out = []
+    for kind, letters in candidates(token):
+        if letters not in scores:
+            if kind and not model.single.keys() >= set(letters.lower()):
+                continue
+            scores[letters] = model.score(letters)
+        out.append((kind, letters, scores[letters]))
+    return out
+
+
+class Cipher:
+    """The table of a source, applied to tokens."""
+
+    def __init__(self, table: dict[str, str]):
+        self.table = table
+        self.single = str.maketrans({k: v for k, v in table.items() if len(k) == 1})
+        several = sorted((k for k in table if len(k) > 1), key=lambda k: (-len(k), k))
+        self.several = re.compile("|".join(map(re.escape, several))) if several else None
+
+    def __call__(self, token: str) -> str:
+        if self.several is not None:
+            token = self.several.sub(lambda m: self.table[m.group()], token)
+        return token.translate(self.single)
+
+
+def with_learned(options: list[tuple[int, str, float]], token: str, cipher: Cipher | None, model: Language) -> list[tuple[int, str, float]]:
+    """The options of a token with that of its source's own table, if no other gives the same letters."""
+    letters = cipher(token) if cipher is not None else token
+    if any(letters == t for _, t, _ in options):
+        return options
+    return [*options, (LEARNED, letters, model.score(letters))]
+
+
+def symbol_contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(source, symbol, before, after, n)`` of every symbol next to an ASCII letter."""
+    for f in frames:
+        use: Counter = Counter()
+        for source, token, n in zip(f.source, f.token, f.n, strict=True):
+            if LOST in token:
+                continue
+            for m in SYMBOL.finditer(token):
+                if unicodedata.category(m.group()[0]) in ("Ps", "Pi"):
+                    continue  # a quotation mark and what it opens
+                before, after = token[m.start() - 1] if m.start() else "\x02", token[m.end()] if m.end() < len(token) else "\x03"
+                if before.isalpha() or after.isalpha():
+                    use[source, m.group(), before, after] += n
+        yield pd.DataFrame([(*k, v) for k, v in use.items()], columns=["source", "symbol", "before", "after", "n"])
+
+
+class Contexts:
+    """How often each symbol stands after and before each ASCII character, over all sources."""
+
+    def __init__(self, symbols: list[tuple[str, float]], sides: dict[tuple[str, str, str], float], total: float):
+        self.names = [c for c, _ in symbols]
+        self.row = {c: i for i, c in enumerate(self.names)}
+        self.count, self.total = np.array([n for _, n in symbols], dtype=float), total
+        self.place = {chr(i): i for i in range(128)}
+        self.letters = np.array([i for i, c in enumerate(self.names) if len(c) == 1][:LETTERS], dtype=int)
+        self.beside = {side: np.zeros((len(symbols), 128)) for side in ("before", "after")}
+        for (side, c, x), v in sides.items():
+            self.beside[side][self.row[c], self.place[x]] = v
+        self.general = {side: (n.sum(axis=0) + 0.01) / (n.sum() + 1.28) for side, n in self.beside.items()}
+
+    def logs(self, side: str, counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + SMOOTH * self.general[side]) / (counts.sum(axis=1, keepdims=True) + SMOOTH))
+
+
+def decipher(rows: pd.DataFrame, language: Contexts) -> list[tuple[str, str, float, float]]:
+    """``(symbol, letter, tokens, share)`` of one source: EM over a substitution cipher with a share of garbled symbols.
+
+    What a symbol looks like where it stands for itself is what the *other* sources
+    make of it; what they do not know and a letter's contexts explain is garbled. A
+    source with no others to compare with has nothing to learn from.
+    """
+    rows = rows[(rows.groupby("symbol").n.transform("sum") >= SEEN)]
+    n = rows.n.to_numpy(dtype=float)
+    elsewhere = language.total - n.sum()
+    if not len(rows) or not len(language.letters) or elsewhere < n.sum() / 20:
+        return []
+    names, at = np.unique(rows.symbol.to_numpy(dtype=object), return_inverse=True)
+    sides = {c: rows[c].map(language.place).to_numpy() for c in ("before", "after")}
+    known = np.array([language.row.get(s, -1) for s in names])
+    here, letter, alone = np.bincount(at, n, len(names)), np.zeros((len(language.letters), len(rows))), np.zeros(len(rows))
+    for side, place in sides.items():
+        own = np.zeros((len(names), 128))
+        np.add.at(own, (at, place), n)
+        others = np.where(known[:, None] >= 0, language.beside[side][known] - own, 0.0).clip(0)
+        alone += language.logs(side, others)[at, place]
+        letter += language.logs(side, language.beside[side][language.letters])[:, place]
+    mass = np.where(known >= 0, language.count[known] - here, 0.0).clip(0) * (n.sum() / elsewhere) + ALONE
+    letter_mass = language.count[language.letters] / language.total * n.sum()
+    itself = known[:, None] == language.letters[None, :]
+    table, share = np.full((len(names), len(language.letters)), 1.0 / SPREAD), GARBLED
+    expected = np.zeros_like(table)
+    for _ in range(TABLE_ROUNDS):
+        with np.errstate(divide="ignore"):
+            weight, stay = np.log(letter_mass * share * np.where(itself, 0.0, table)), np.log(mass * (1 - share))
+        expected[:] = 0
+        for i in range(0, len(rows), 4096):
+            s = slice(i, i + 4096)
+            logs, stays = letter[:, s].T + weight[at[s]], alone[s] + stay[at[s]]
+            most = np.maximum(logs.max(axis=1), stays)
+            odds = np.exp(logs - most[:, None])
+            np.add.at(expected, at[s], odds / (odds.sum(axis=1) + np.exp(stays - most))[:, None] * n[s][:, None])
+        table = (expected + 0.1 / SPREAD) / (expected.sum(axis=0) + 0.1)
+        share = min(0.5, max(1e-4, expected.sum() / n.sum()))
+    best = expected.argmax(axis=1)
+    won = expected[np.arange(len(names)), best]
+    letters = np.array([len(k) == 1 and k.isalpha() for k in names])
+    foreign = ~letters | (mass <= LETTER_SEEN * n.sum() / elsewhere + ALONE) | (here >= FOREIGN * mass)
+    good = foreign & (won >= SEEN / 2) & (won >= CLEAR * expected.sum(axis=1))
+    found: dict[str, tuple[str, float]] = {}
+    for k in sorted(np.flatnonzero(good), key=lambda k: (-won[k], names[k])):
+        to = language.names[language.letters[best[k]]]
+        if to not in found:  # what is garbled itself is no letter
+            found[str(names[k])] = (to, round(float(won[k]), 3))
+    seen = dict(zip(names.tolist(), here, strict=True))
+    return [(k, *v, min(1.0, v[1] / seen[k])) for k, v in found.items() if len(k) == 1 or not all(c in found for c in k)]
+
+
+def ciphers(vocabulary: DataFrame) -> DataFrame:
+    """``(source, symbol, letter, tokens, share)``: the substitution table learned for each source, and which share of each symbol it explains.
+
+    The driver gets how often the ``SYMBOLS`` most frequent symbols stand beside each
+    ASCII character; a source's contexts are counts by symbol and two ASCII
+    characters, so no more however many documents it has.
+    """
+    spark = vocabulary.sparkSession
+    contexts = vocabulary.mapInPandas(symbol_contexts, "source string, symbol string, before string, after string, n double")
+    contexts = materialize(contexts.groupBy("source", "symbol", "before", "after").agg(F.sum("n").alias("n")), "symbol-contexts")
+    plain = contexts.where((F.octet_length("before") == 1) & (F.octet_length("after") == 1))
+    counts = materialize(plain.groupBy("symbol").agg(F.sum("n").alias("n")), "symbol-counts")
+    frequent = counts.where(F.col("n") >= LETTER_SEEN).orderBy(F.desc("n"), "symbol").limit(SYMBOLS)
+    symbols = [(r.symbol, r.n) for r in frequent.collect()]
+    ends = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("c")) for c in ("before", "after")])
+    beside = plain.join(F.broadcast(frequent.select("symbol")), "symbol").select("symbol", "n", F.explode(ends).alias("x"))  # SYMBOLS rows at most
+    sides = {(r.side, r.symbol, r.c): r.n for r in beside.groupBy("x.side", "symbol", "x.c").agg(F.sum("n").alias("n")).collect()}
+    total = counts.agg(F.sum("n")).first()[0] or 0.0
+    language = spark.sparkContext.broadcast(Contexts(symbols, sides, total))
+
+    def learned(rows: pd.DataFrame) -> pd.DataFrame:
+        found = decipher(rows, language.value)
+        return pd.DataFrame([(rows.source.iloc[0], *r) for r in found], columns=["source", "symbol", "letter", "tokens", "share"])
+
+    return materialize(plain.groupBy("source").applyInPandas(learned, "source string, symbol string, letter string, tokens double, share double"), "ciphers")
+
+
+class Tables:
+    """The table of each source, the share of each symbol it explains, and how many tokens it explains in all."""
+
+    def __init__(self, learned: DataFrame):
+        self.letter: dict[str, dict[str, str]] = defaultdict(dict)
+        self.share: dict[str, dict[str, float]] = defaultdict(dict)
+        self.tokens: dict[str, float] = defaultdict(float)
+        for r in learned.collect():  # no more rows than symbols in use
+            self.letter[r.source][r.symbol] = r.letter
+            self.share[r.source][r.symbol] = r.share
+            self.tokens[r.source] += r.tokens
+
+    def ciphers(self) -> dict[str, Cipher]:
+        return {s: Cipher(t) for s, t in self.letter.items()}
 
 
 def weighed(options: list[tuple[int, str, float]], rates: dict[int, float]) -> list[tuple[int, str, float]]:
@@ -230,14 +414,6 @@ def bigrams_of(rows: Iterator[tuple[str, float]]) -> dict[tuple[str, str], float
     return out
 
 
-BIGRAMS = "a string, b string, n double"
-
-
-def summed(parts: DataFrame) -> dict[tuple[str, str], float]:
-    """Bigram counts; no more rows than pairs of characters in use."""
-    return {(r.a, r.b): r.n for r in parts.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1e-3").collect()}
-
-
 def token_counts(read: DataFrame) -> DataFrame:
     """``(source, token, n)``, equal tokens side by side; counted within batches before anything is shuffled."""
 
@@ -253,26 +429,40 @@ def token_counts(read: DataFrame) -> DataFrame:
     return materialize(sums.repartition(parts, "token").sortWithinPartitions("token"), "tokens")
 
 
-def learn(vocabulary: DataFrame) -> tuple[dict, dict[str, dict[int, float]]]:
+def learn(vocabulary: DataFrame, tables: Tables) -> tuple[dict, dict[str, dict[int, float]]]:
     """Bigrams of the language, and the rate of each swap by source."""
     spark = vocabulary.sparkSession
+    own = spark.sparkContext.broadcast(tables)
 
     def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cipher, shares = own.value.ciphers(), own.value.share
         for f in frames:
-            c = bigrams_of(zip(f.token, f.n, strict=True))
-            yield pd.DataFrame([(a, b, float(n)) for (a, b), n in c.items()], columns=["a", "b", "n"])
-
-    bigrams = summed(vocabulary.select("token", "n").mapInPandas(plain, BIGRAMS))
-    first = spark.sparkContext.broadcast(bigrams)
-
-    rates: dict[str, dict[int, float]] = {}
+            raw, moved = bigrams_of(zip(f.token, f.n, strict=True)), {}
+            for source, token, n in zip(f.source, f.token, f.n, strict=True):
+                letters = cipher[source](token) if source in cipher else token
+                if letters != token:
+                    sure = min((v for k, v in shares[source].items() if k in token), default=0.0)
+                    for text, weight in ((letters, n * sure), (token, -n * sure)):
+                        for pair, v in bigrams_of([(text, weight)]).items():
+                            moved[pair] = moved.get(pair, 0.0) + v
+            yield pd.DataFrame([(w, a, b, float(n)) for w, c in (("raw", raw), ("moved", moved)) for (a, b), n in c.items()], columns=["what", "a", "b", "n"])
+
+    counted = materialize(vocabulary.mapInPandas(plain, "what string, a string, b string, n double").groupBy("what", "a", "b").agg(F.sum("n").alias("n")), "bigrams")
+    raw = {(r.a, r.b): r.n for r in counted.where("what = 'raw'").collect()}
+    moved = {(r.a, r.b): r.n for r in counted.where("what = 'moved'").collect()}
+    # what the tables explain is no use of its symbols
+    bigrams = {k: max(0.0, raw.get(k, 0.0) + moved.get(k, 0.0)) for k in raw.keys() | moved.keys()}
+
+    total = {r.source: r.n for r in vocabulary.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    rates = {s: {LEARNED: min(0.5, n / total[s])} for s, n in tables.tokens.items()}
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((bigrams, rates))
 
         def expect(frames: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             grams, by_source = state.value
             model = Language(grams)
-            last, options = None, []
+            last, base = None, []
+            cipher = own.value.ciphers()
             for f in frames:
                 change: dict[tuple[str, str], float] = {}
                 use: Counter = Counter()
@@ -280,7 +470,8 @@ def learn(vocabulary: DataFrame) -> tuple[dict, dict[str, dict[int, float]]]:
                     if LOST in token:
                         continue
                     if token != last:
-                        last, options = token, scored(token, model)
+                        last, base = token, scored(token, model)
+                    options = with_learned(base, token, cipher.get(source), model)
                     for kind, letters, p in weighed(options, by_source.get(source, {})) if len(options) > 1 else []:
                         if p > 1e-6:
                             use[source, kind] += p * n
@@ -293,8 +484,7 @@ def learn(vocabulary: DataFrame) -> tuple[dict, dict[str, dict[int, float]]]:
 
         seen = materialize(vocabulary.mapInPandas(expect, "what string, a string, b string, kind int, n double").groupBy("what", "a", "b", "kind").agg(F.sum("n").alias("n")), "expected")
         moved = {(r.a, r.b): r.n for r in seen.where("what = 'bigram'").collect()}
-        bigrams = {k: max(0.0, first.value.get(k, 0.0) + moved.get(k, 0.0)) for k in first.value.keys() | moved.keys()}
-        total = {r.source: r.n for r in vocabulary.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+        bigrams = {k: max(0.0, raw.get(k, 0.0) + moved.get(k, 0.0)) for k in raw.keys() | moved.keys()}
         rates = {s: {} for s in total}
         for r in seen.where("what = 'use' and kind > 0").collect():
             rates[r.a][r.kind] = (r.n + PRIOR * PRIOR_TOKENS) / (total[r.a] + PRIOR_TOKENS)
@@ -307,45 +497,46 @@ def learn(vocabulary: DataFrame) -> tuple[dict, dict[str, dict[int, float]]]:
 def repaired(documents: DataFrame) -> DataFrame:
     """``(doc_id, source, swaps, n_tokens, lost, restored)``: the affected documents and their text put right.
 
-    ``swaps`` names the swaps met, ``n_tokens`` counts garbled tokens, ``lost`` the
+    ``swaps`` names the likeliest swap of each garbled token, and "learned" where the source's own table gives the same letters; ``n_tokens`` counts garbled tokens, ``lost`` the
     characters that were replaced beyond recovery (those keep their mark), and
     ``restored`` is the text with every garbled token replaced.
 
     Cases: null and empty texts are unaffected; a null source is a source of its
     own; escapes are resolved before a token is judged, and proper ones are no
-    case; tokens of several pages in one document are judged one by one; repeated
-    deliveries count once; an empty table gives no rows. The driver holds character
+    case; tokens of several pages in one document are judged one by one; of repeated
+    deliveries the last counts; an empty table gives no rows. The driver holds character
     bigrams and one rate per source and swap, whatever the number of documents.
     """
     spark = documents.sparkSession
     some = F.col("text").rlike(r"[^\x00-\x7f]|&#?\w+;|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9a-fA-F]{2}")
-    read = documents.where(F.col("doc_id").isNotNull() & some).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), "text")
+    read = documents.where(F.col("doc_id").isNotNull() & some).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), "text", "loaded_at")
 
     vocabulary = token_counts(read)
-    bigrams, rates = learn(vocabulary)
-    shared = spark.sparkContext.broadcast((bigrams, rates))
+    tables = Tables(ciphers(vocabulary))
+    bigrams, rates = learn(vocabulary, tables)
+    shared = spark.sparkContext.broadcast((bigrams, rates, tables))
 
     run_id = uuid.uuid4().hex
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, by_source = shared.value
+        grams, by_source, own = shared.value
         # what a worker has scored serves its later tasks of the same run; the module's own dictionary, not a pickled copy
         from stratamem.llm.encodings import SCORED as kept
 
         if run_id not in kept:
             kept.clear()
-            kept[run_id] = (Language(grams), {}, defaultdict(dict))
-        model, known, doubts = kept[run_id]
+            kept[run_id] = (Language(grams), {}, defaultdict(dict), own.ciphers())
+        model, known, doubts, cipher = kept[run_id]
 
-        def options_of(token: str) -> list[tuple[int, str, float]]:
+        def options_of(source: str, token: str) -> list[tuple[int, str, float]]:
             options = known.get(token)
             if options is None:
                 if len(known) > 300_000:
                     known.clear()
                 options = known[token] = scored(token, model)
-            return options
+            return with_learned(options, token, cipher.get(source), model)
 
-        def verdicts(source: str, use: Counter) -> dict[str, tuple[int, str]]:
+        def verdicts(source: str, use: Counter) -> dict[str, tuple[set[int], str]]:
             """The garbled ones of a document's tokens; its own rates start from those of its source."""
             base = by_source.get(source, {})
             first = doubts[source]
@@ -355,12 +546,12 @@ def repaired(documents: DataFrame) -> DataFrame:
                 if p is None:
                     if len(first) > 300_000:
                         first.clear()
-                    options = options_of(token)
+                    options = options_of(source, token)
                     p = first[token] = sum(p for k, _, p in weighed(options, base) if k) if len(options) > 1 else 0.0
                 doubt += p * n
             if doubt < 0.005:
                 return {}
-            open_ = [(t, n, options) for t, n in use.items() if len(options := options_of(t)) > 1]
+            open_ = [(t, n, options) for t, n in use.items() if len(options := options_of(source, t)) > 1]
             rates = base
             for _ in range(DOCUMENT_ROUNDS):
                 made: Counter = Counter()
@@ -380,37 +571,42 @@ def repaired(documents: DataFrame) -> DataFrame:
                     sums[letters] += p
                 letters = max(sums, key=lambda t: (sums[t], t))
                 if letters != token and sums[letters] > 1 / (1 + math.exp(-NATS)):
-                    out[token] = (max((p, -k) for k, t, p in posterior if t == letters)[1] * -1, letters)
+                    likely = max((p, -k) for k, t, p in posterior if t == letters)[1] * -1
+                    out[token] = ({likely} | ({LEARNED} if source in cipher and cipher[source](token) == letters else set()), letters)
             return out
 
         for batch in batches:
             rows = []
-            for doc, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, source, text, at in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 garbled = verdicts(source, Counter(tokens(text)))
                 lost = text.count(LOST)
                 if garbled or lost:
                     put = []
                     for part in re.split(r"([ \n\t\r])", text):
                         if not part.isascii() or "&" in part or "\\" in part or "%" in part:
-                            part = garbled.get(unescaped(part), (0, part))[1]
+                            part = garbled.get(unescaped(part), (set(), part))[1]
                         put.append(part)
-                    kinds = {k for k, _ in garbled.values()}
-                    rows.append((doc, source, sorted(NAMES[k] for k in kinds), len(garbled), lost, "".join(put)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["doc_id", "source", "swaps", "n_tokens", "lost", "restored"])
+                    kinds = {k for ks, _ in garbled.values() for k in ks}
+                    rows.append((doc, source, sorted(NAMES[k] for k in kinds), len(garbled), lost, "".join(put), at.as_py()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), batch.schema.field(3).type]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["doc_id", "source", "swaps", "n_tokens", "lost", "restored", "loaded_at"])
 
-    found = read.mapInArrow(judge, "doc_id bigint, source string, swaps array<string>, n_tokens int, lost int, restored string")
-    return found.dropDuplicates(["doc_id"])
+    kind = read.schema["loaded_at"].dataType.simpleString()
+    found = read.mapInArrow(judge, f"doc_id bigint, source string, swaps array<string>, n_tokens int, lost int, restored string, loaded_at {kind}")
+    last = documents.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("loaded_at").alias("last"))
+    newest = found.join(last, "doc_id").where(F.col("loaded_at").eqNullSafe(F.col("last"))).drop("loaded_at", "last")
+    return newest.groupBy("doc_id").agg(F.max(F.struct("restored", "source", "swaps", "n_tokens", "lost")).alias("r")).select("doc_id", "r.source", "r.swaps", "r.n_tokens", "r.lost", "r.restored")
 
 
 def symbol_letters(documents: DataFrame) -> DataFrame:
-    """``(source, swap, symbol, letter, tokens)``: the substitution table learned for each source."""
+    """``(source, swap, symbol, letter, tokens)``: the tables of each source, the learned one and those that known swaps seed."""
     spark = documents.sparkSession
     read = documents.select(F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), "text").where(F.col("text").isNotNull())
 
     vocabulary = token_counts(read)
-    bigrams, rates = learn(vocabulary)
+    own = ciphers(vocabulary)
+    bigrams, rates = learn(vocabulary, Tables(own))
     shared = spark.sparkContext.broadcast((bigrams, rates))
 
     def letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -432,4 +628,5 @@ def symbol_letters(documents: DataFrame) -> DataFrame:
                                     use[source, NAMES[kind], symbol, c] += n * p
             yield pd.DataFrame([(*k, v) for k, v in use.items()], columns=["source", "swap", "symbol", "letter", "tokens"])
 
-    return vocabulary.mapInPandas(letters, "source string, swap string, symbol string, letter string, tokens double").groupBy("source", "swap", "symbol", "letter").agg(F.round(F.sum("tokens"), 3).alias("tokens"))
+    seeded = vocabulary.mapInPandas(letters, "source string, swap string, symbol string, letter string, tokens double").groupBy("source", "swap", "symbol", "letter").agg(F.round(F.sum("tokens"), 3).alias("tokens"))
+    return seeded.unionByName(own.select("source", F.lit(NAMES[LEARNED]).alias("swap"), "symbol", "letter", "tokens"))

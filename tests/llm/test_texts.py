@@ -157,7 +157,7 @@ CLEAN = "Der müde Wächter öffnete die schwere Tür und zählte die übrigen S
 
 
 def test_swaps_are_undone_exactly():
-    for kind, name in enumerate(encodings.NAMES[1:], 1):
+    for kind, name in enumerate(encodings.NAMES[1:-1], 1):
         true, read_as = ("utf-8", encodings.UTF8_READ_AS[kind - 1]) if kind <= len(encodings.UTF8_READ_AS) else encodings.SWAPS[kind - 1 - len(encodings.UTF8_READ_AS)]
         text = {"koi8-r": "молодой", "cp1251": "молодой", "cp866": "молодой", "gbk": "清晨图书管理员", "cp1250": "księżyc", "iso8859-2": "księżyc", "cp1254": "kışın"}.get(true, "für Bäcker")
         if name.endswith("gbk"):
@@ -197,6 +197,34 @@ def test_garbled_documents_are_found_and_put_right(spark):
     assert encodings.symbol_letters(documents(spark, rows)).where("letter = 'ü' and swap = 'utf-8 read as cp1252'").count() > 0
 
 
+GERMAN = "Der müde Wächter öffnete die schwere Tür und zählte die übrigen Schlüssel für fünf Bäcker am Fluß während draußen der kühle Herbst über die Dörfer zog und mächtige Bäume größere Schatten auf die Höfe und Gärten der Müller warfen bevor spät am Abend süße Brötchen und gewöhnliche Äpfel auf den Tischen der Gäste lagen"
+
+
+@pytest.mark.parametrize("read_as", ["cp1253", "mac_latin2"])
+def test_swaps_outside_the_tables_are_learned(spark, read_as):
+    assert ("cp1252", read_as) not in encodings.SWAPS and read_as not in encodings.UTF8_READ_AS
+    r = random.Random(5)
+    text = lambda: " ".join(r.sample(GERMAN.split(), 25))
+    clean = {i: text() for i in range(400)}
+    bad = {1000 + i: clean[i].encode("cp1252").decode(read_as, "ignore") for i in range(15)}
+    rows = [(k, t, "s" if k % 2 or k in bad else "t") for k, t in [*clean.items(), *bad.items()]]
+    df = documents(spark, rows)
+    got = {x.doc_id: x for x in encodings.repaired(df).collect()}
+    assert set(got) == set(bad)
+    right = [a == b for k in bad for a, b in zip(clean[k - 1000].split(), got[k].restored.split(), strict=True) if not a.isascii()]
+    assert sum(right) >= 0.97 * len(right)
+    assert all("learned" in x.swaps for x in got.values())
+    table = {r.symbol: r.letter for r in encodings.symbol_letters(df).where("swap = 'learned'").collect()}
+    assert all(table["äöüß".encode("cp1252").decode(read_as)[i]] == c for i, c in enumerate("äöüß"))
+
+
+def test_the_last_delivery_counts(spark):
+    later = NOW + datetime.timedelta(days=1)
+    rows = [(i, CLEAN, "en", "s", None, NOW, 1, "w") for i in range(30)] + [(40, CLEAN.encode().decode("latin-1"), "en", "s", None, NOW, 1, "w"), (40, CLEAN, "en", "s", None, later, 1, "w"), (41, CLEAN, "en", "s", None, NOW, 1, "w"), (41, CLEAN.encode().decode("latin-1"), "en", "s", None, later, 1, "w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, loaded_at timestamp_ntz, at int, window string")
+    assert [(r.doc_id, r.restored) for r in encodings.repaired(df).collect()] == [(41, CLEAN)]
+
+
 # truncation
 
 
