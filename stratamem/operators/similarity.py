@@ -68,6 +68,46 @@ def scored_pairs(nodes: DataFrame, weight: float, sigma: float, gamma: float, ma
     return pairs.distinct() if band else pairs
 
 
+def pairs_in_books(nodes: DataFrame, weight: float, sigma: float, gamma: float, masked: bool = False) -> DataFrame:
+    """``(i, j, sim)`` of the pairs of one book that reach ``gamma``; ``nodes(book_id, id, at, vec[, doc_id])``.
+
+    As :func:`scored_pairs`, with nearness by the place ``at`` in the book. A book of
+    more than ``BLOCK`` rows is dealt into blocks of which each pair is a task, so a
+    book that holds a tenth of all rows is many tasks. Rows without a vector, or of
+    another length than the rest of their book, have no pairs.
+    """
+    usable = nodes.where(F.col("vec").isNotNull() & (F.size("vec") > 0))
+    sizes = usable.groupBy("book_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(F.size("vec")).alias("dim"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    columns = ["book_id", "id", "at", F.expr("transform(vec, x -> cast(x as double))").alias("vec"), *(["doc_id"] if masked else [])]
+    base = usable.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "book_id").where(F.size("vec") == F.col("dim"))
+    keyed = base.select(*columns, own.alias("b"), "blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = keyed.withColumn("p", F.least("b", "other")).withColumn("q", F.greatest("b", "other")).drop("other", "blocks")
+
+    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("id")
+        ids, at, b = rows.id.to_numpy(), rows["at"].to_numpy().astype(float), rows.b.to_numpy()
+        x = np.stack(rows.vec.to_numpy())
+        x = np.where(np.isfinite(x), x, 0.0)
+        norm = np.sqrt((x * x).sum(axis=1))
+        x = x / np.where(norm > 0, norm, np.inf)[:, None]
+        doc = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), "\x00").to_numpy() if masked else None
+        out = [pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "sim": np.zeros(0)})]
+        for s in range(0, len(ids), 512):
+            near = np.exp(-((at[s : s + 512, None] - at[None, :]) ** 2) / (2 * sigma * sigma))
+            if masked:
+                near = near * (doc[s : s + 512, None] == doc[None, :])
+            sim = np.round(weight * np.maximum(0.0, x[s : s + 512] @ x.T) + (1 - weight) * near, 6)
+            keep = (sim >= gamma) & (ids[s : s + 512, None] < ids[None, :])
+            if key[1] != key[2]:
+                keep &= b[s : s + 512, None] != b[None, :]
+            r, c = np.nonzero(keep)
+            out.append(pd.DataFrame({"i": ids[r + s], "j": ids[c], "sim": sim[r, c]}))
+        return pd.concat(out)
+
+    return keyed.groupBy("book_id", "p", "q").applyInPandas(score, "i bigint, j bigint, sim double")
+
+
 def knn_edges(pairs: DataFrame, k: int) -> DataFrame:
     """``(u, v, weight)``: the undirected union of every node's ``k`` best partners, ties by ascending id."""
     both = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j"), "sim"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))).alias("e")).select("e.*")

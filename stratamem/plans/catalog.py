@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratamem.plans import graph, knowledge, texts
+from stratamem.plans import building, graph, knowledge, texts
 
-MODULES = (graph, texts, knowledge)
+MODULES = (graph, building, texts, knowledge)
 
 
 def queries() -> dict:

@@ -124,7 +124,7 @@ def test_models_are_deterministic(spark):
     for name in M.PROMPTS:
         M.render(name, **dict.fromkeys(["passage", "passages", "elements", "question", "options", "claim", "query", "reference", "answer"], "v"))
     df = spark.createDataFrame([(1, "Hello there. X"), (2, None)], "id bigint, t string")
-    assert {r.id: r.output for r in M.complete(df, "gist", "id", "passage", "t").collect()} == {1: "Hello there.", 2: ""}
+    assert {r.id: r.output for r in M.complete(df, "gist", "id", {"passage": "t"}).collect()} == {1: "Hello there.", 2: ""}
 
 
 def test_readers_and_sinks(spark, tmp_path):
