@@ -116,33 +116,45 @@ def knn_edges(pairs: DataFrame, k: int) -> DataFrame:
     return picks.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.col("sim").alias("weight")).distinct()
 
 
-def query_topk(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``(qid, node, score, rank)``: the ``k`` best nodes of every query by cosine, ties by node id.
-
-    The queries go in blocks against all nodes; each partition keeps ``k`` per query
-    before anything is shuffled.
+def query_topk(nodes: DataFrame, queries: DataFrame, k: int, book: str | None = None) -> DataFrame:
+    """``(qid, [book,] node, score, rank)``: the ``k`` best nodes of every query by cosine, ties by node id.
+
+    ``nodes(id, vec)``, ``queries(qid, vec)``; with ``book``, a column of both, a query
+    only asks the nodes of its own. The queries are a stated set: they go in blocks of
+    ``BLOCK`` against all nodes, and each batch of nodes keeps ``k`` per query before
+    anything is shuffled. The blocks are parts of one column, so the nodes are read
+    once a block by parallel stages of one job.
     """
     spark = nodes.sparkSession
-    asked = materialize(queries.select("qid", "vec"), "queries")
+    keep = [book] if book else []
+    asked = materialize(queries.select("qid", *keep, "vec").where(F.col("vec").isNotNull()), "queries")
     parts = max(1, -(-asked.count() // BLOCK))
+    kinds = [f"{c} {nodes.schema[c].dataType.simpleString()}" for c in keep]
     out = None
     for part in range(parts):
         block = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).toPandas()
-        shared = spark.sparkContext.broadcast((block.qid.to_numpy(), np.stack([np.asarray(v, dtype=float) for v in block.vec]) if len(block) else None))
+        q = np.stack([np.asarray(v, dtype=float) for v in block.vec]) if len(block) else np.zeros((0, 1))
+        q = q / np.maximum(np.sqrt((q * q).sum(1)), 1e-150)[:, None]
+        shared = spark.sparkContext.broadcast((block.qid.to_numpy(), block[book].to_numpy() if book else None, q))
 
         def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
+            qid, own, q = shared.value
             for f in frames:
-                if q is None or not len(f):
-                    continue
-                x = np.stack([np.asarray(v, dtype=float) for v in f.vec])
-                score = np.round((q @ x.T) / np.maximum(np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :], 1e-300), 6)
-                ids = f.id.to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(qid)), order.shape[1])
-                yield pd.DataFrame({"qid": qid[r], "node": ids[order.ravel()], "score": score[r, order.ravel()]})
-
-        found = nodes.select("id", "vec").mapInPandas(scan, "qid bigint, node bigint, score double")
+                f = f[f.vec.map(lambda v: v is not None and len(v) == q.shape[1]).to_numpy(dtype=bool)]
+                for name, rows in f.groupby(book, sort=False) if book else [(None, f)]:
+                    some = np.flatnonzero(own == name) if book else np.arange(len(qid))
+                    if not len(some) or not len(rows):
+                        continue
+                    x = np.stack([np.asarray(v, dtype=float) for v in rows.vec])
+                    x = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-150)[:, None]
+                    score, ids = np.round(q[some] @ x.T, 6), rows.id.to_numpy()
+                    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                    r = np.repeat(np.arange(len(some)), order.shape[1])
+                    found = {"qid": qid[some][r], **({book: name} if book else {}), "node": ids[order.ravel()], "score": score[r, order.ravel()]}
+                    yield pd.DataFrame(found)
+
+        schema = ", ".join([f"qid {queries.schema['qid'].dataType.simpleString()}", *kinds, "node bigint", "score double"])
+        found = nodes.select("id", *keep, "vec").mapInPandas(scan, schema)
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)

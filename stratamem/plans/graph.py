@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamem.functions import vectors as V
+from stratamem.operators import explore as E
 from stratamem.operators import personas as P
 from stratamem.operators import similarity as S
 from stratamem.storage import materialize, table
@@ -135,30 +137,26 @@ def hierarchy_memory(spark, d):
 
 
 def expand_frontier(spark, d):
-    """Picks, their neighbours, and the children of picked communities."""
+    """Picks (the ids divisible by 20 of each level), their neighbours, and the members of picked communities."""
     e, personas, _, communities = grouped(spark, d)
-    adj = P.adjacency(e)
-    picks = nodes(spark, d).where(F.col("id") % 50 == 0).select("id")
-    near = picks.join(adj, F.col("id") == F.col("a")).select(F.lit(0).alias("level"), F.col("b").alias("node"))
-    members = P.membership(communities, personas)
-    below = members.where(F.col("community") % 50 == 0).select(F.lit(0).alias("level"), "node")
-    own = picks.select(F.lit(0).alias("level"), F.col("id").alias("node")).unionByName(members.where(F.col("community") % 50 == 0).select(F.lit(1).alias("level"), F.col("community").alias("node")))
-    return own.unionByName(near).unionByName(below).distinct()
+    members = materialize(P.membership(communities, personas), "members")
+    above = P.adjacency(P.super_edges(e, members).select(F.col("c1").alias("u"), F.col("c2").alias("v")))
+    leveled = lambda df, level: df.select(F.lit(level).alias("level"), "*")
+    adjacent = leveled(P.adjacency(e), 0).unionByName(leveled(above, 1))
+    picks = leveled(nodes(spark, d).select(F.col("id").alias("node")), 0).unionByName(leveled(members.select(F.col("community").alias("node")).distinct(), 1)).where("node % 20 = 0")
+    near = picks.join(adjacent, (picks.level == adjacent.level) & (picks.node == adjacent.a)).select(picks.level, F.col("b").alias("node"))
+    below = picks.where("level = 1").join(members.withColumnRenamed("node", "member"), F.col("node") == F.col("community")).select(F.lit(0).alias("level"), F.col("member").alias("node"))
+    return picks.unionByName(near).unionByName(below).distinct()
 
 
 def prune_and_grow(spark, d):
-    """Three turns of pick (cosine of 0.25 or more) and grow (picks and their neighbours), from the ten best nodes of each query."""
+    """Five turns of pick (cosine of 0.25 or more) and grow (picks and their neighbours), from the ten best nodes of each query."""
     n = nodes(spark, d)
-    e = P.adjacency(edges(spark, d))
-    queries = materialize(n.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), "vec"), "asked")
-    scores = materialize(S.query_topk(n, queries, 1 << 30).where("score >= 0.25").select("qid", "node", "score"), "fit")
-    front = S.query_topk(n, queries, K).select("qid", "node")
-    evidence = None
-    for _ in range(3):
-        picked = materialize(front.join(scores, ["qid", "node"]).select("qid", "node", "score"), "picked")
-        evidence = picked if evidence is None else evidence.unionByName(picked)
-        front = picked.select("qid", "node").unionByName(picked.join(e, F.col("node") == F.col("a")).select("qid", F.col("b").alias("node"))).distinct()
-    return evidence.distinct()
+    adjacent = materialize(P.adjacency(edges(spark, d, CLUSTERED)), "adjacency")
+    queries = materialize(n.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("vec").alias("q")), "asked")
+    front = S.query_topk(n, queries.withColumnRenamed("q", "vec"), K).select("qid", "node")
+    choose = E.by_score(queries, n.select(F.col("id").alias("node"), "vec"), F.round(V.cosine(F.col("q"), F.col("vec")), 6), 0.25)
+    return E.explore(front, choose, adjacent, adjacent.limit(0))
 
 
 def incremental_personas(spark, d):
@@ -221,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
 topk AS MATERIALIZED (SELECT qid, node, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM s QUALIFY rank <= {K})"""
     levels = f"""{clustered}, n0 AS (SELECT count(*) AS n FROM embeddings), n1 AS (SELECT count(DISTINCT community) AS n FROM members)"""
     turns = "t0 AS (SELECT qid, node FROM topk)"
-    for k in (1, 2, 3):
+    for k in (1, 2, 3, 4, 5):
         turns += f""", p{k} AS MATERIALIZED (SELECT t.qid, t.node, s.score FROM t{k - 1} t JOIN s ON s.qid = t.qid AND s.node = t.node WHERE s.score >= 0.25),
 t{k} AS MATERIALIZED (SELECT qid, node FROM p{k} UNION SELECT qid, b FROM p{k} JOIN adj ON a = node)"""
     return {
@@ -249,8 +247,10 @@ SELECT community, string_agg('Passage ' || k || ': ' || text, chr(10) ORDER BY k
         "composed_memory": f"""{levels}, base AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS id FROM embeddings)
 SELECT 0 AS level, id AS node_id, '' AS children FROM base UNION ALL
 SELECT 1, community + n0.n, string_agg(id::VARCHAR, ',' ORDER BY id) FROM members JOIN base ON vec_id = node, n0, n1 WHERE n1.n < n0.n GROUP BY community, n0.n""",
-        "expand_frontier": f"""{clustered} SELECT 0 AS level, vec_id AS node FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT 1, community FROM members WHERE community % 50 = 0
-UNION SELECT 0, b FROM adj WHERE a % 50 = 0 UNION SELECT 0, node FROM members WHERE community % 50 = 0""",
-        "prune_and_grow": f"{sparse.replace('e AS MATERIALIZED', 'e0 AS MATERIALIZED').replace('FROM e a JOIN e b', 'FROM e0 a JOIN e0 b')}, {top}, {turns} SELECT qid, node, score FROM p1 UNION SELECT qid, node, score FROM p2 UNION SELECT qid, node, score FROM p3",
+        "expand_frontier": f"""{clustered}, super AS MATERIALIZED (SELECT DISTINCT x AS a, y AS b FROM (SELECT a.community AS x, b.community AS y FROM members a JOIN members b ON a.node = b.node
+UNION ALL SELECT a.community, b.community FROM adj JOIN members a ON a.node = adj.a JOIN members b ON b.node = adj.b) WHERE x <> y)
+SELECT 0 AS level, vec_id AS node FROM embeddings WHERE vec_id % 20 = 0 UNION SELECT 1, community FROM members WHERE community % 20 = 0
+UNION SELECT 0, b FROM adj WHERE a % 20 = 0 UNION SELECT 1, b FROM super WHERE a % 20 = 0 UNION SELECT 0, node FROM members WHERE community % 20 = 0""",
+        "prune_and_grow": f"WITH RECURSIVE {edges_sql(CLUSTERED).replace('e AS MATERIALIZED', 'e0 AS MATERIALIZED', 1).replace('FROM e a JOIN e b', 'FROM e0 a JOIN e0 b')}, {top}, {turns} SELECT qid, node, score FROM p1 UNION SELECT qid, node, score FROM p2 UNION SELECT qid, node, score FROM p3 UNION SELECT qid, node, score FROM p4 UNION SELECT qid, node, score FROM p5",
         "incremental_personas": f"{sparse} SELECT o, p, comp FROM comps",
     }
