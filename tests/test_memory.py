@@ -122,7 +122,7 @@ def test_model_backed_operators(spark):
     rows = spark.createDataFrame([(1, "We met Anna, and then Bert Lee came. It rained."), (2, None)], "id bigint, t string")
     assert [(r.id, r["at"], r.statement) for r in models.statements(rows, "id", "t").collect()] == [(1, 0, "We met Anna, and then Bert Lee came."), (1, 1, "It rained.")]
     graph = {r.id: r for r in models.graph_elements(rows, "id", "t").collect()}
-    assert [e.entity_name for e in graph[1].entities] == ["Anna", "Bert"] and graph[2].entities == [] == graph[2].relationships
+    assert [e.entity_name for e in graph[1].entities] == ["Anna", "Bert", "Lee"] and graph[2].entities == [] == graph[2].relationships
     assert {r.id: r.entities for r in models.entities(rows, "id", "t").collect()} == {1: ["Anna", "Bert Lee"], 2: []}
     pair = spark.createDataFrame([(1, "red barn", "red barn"), (2, "red barn", "blue sea")], "id bigint, r string, a string")
     assert {r.id: r.score for r in models.judged(pair, "id", "r", "a").collect()} == {1: 1.0, 2: 0.0}
