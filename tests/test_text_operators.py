@@ -102,7 +102,8 @@ def test_greedy_sizes_agree_with_a_loop(spark):
 def test_kg(spark):
     assert K.overlap([], ["a"]) == 0 and K.overlap(["a", "b"], ["b"]) == 1
     two = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0), ("c", "x", 0.1)]
-    g = K.modular_groups(two)
+    g = K.leiden_groups(two)
+    assert K.leiden_groups([("a", "b", 0.0), ("b", "c", 0.0)]) == {"a": 0, "b": 1, "c": 2} and K.leiden_groups([]) == {}
     assert g["a"] == g["b"] == g["c"] != g["x"] == g["y"] == g["z"]
     e = K.link_groups(two)
     assert e["a", "b"] == e["b", "c"] != e["x", "y"]
@@ -110,6 +111,64 @@ def test_kg(spark):
     assert {r.name: r.linked for r in K.link_entities(rows, 0.8).collect()} == {"lantern": "lantern", "lanterns": "lantern", "quay": "quay"}
 
 
+def modularity(edges, group):
+    total = 2 * sum(w for a, b, w in edges if a != b)
+    inside, held = 0.0, {}
+    for a, b, w in edges:
+        if a != b:
+            inside += 2 * w * (group[a] == group[b])
+            for n in (a, b):
+                held[group[n]] = held.get(group[n], 0.0) + w
+    return inside / total - sum(v * v for v in held.values()) / total**2
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_leiden_finds_planted_groups_that_hang_together(seed):
+    rng = np.random.default_rng(seed)
+    n, groups = 60, 5
+    edges = [(f"n{i:02}", f"n{j:02}", float(rng.integers(1, 10))) for i in range(n) for j in range(i) if rng.random() < (0.6 if i % groups == j % groups else 0.02)]
+    got = K.leiden_groups(edges)
+    planted = {name: int(name[1:]) % groups for name in got}
+    assert modularity(edges, got) >= modularity(edges, planted) - 1e-9
+    near = {}
+    for a, b, _ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for g in set(got.values()):
+        members = {m for m, x in got.items() if x == g}
+        seen, todo = set(), [min(members)]
+        while todo:
+            m = todo.pop()
+            seen.add(m)
+            todo += near[m] & members - seen
+        assert seen == members
+
+
+def test_links_are_cut_at_the_greatest_density():
+    # two triangles that share a node: the densest cut keeps them apart; a chain has no dense group
+    bow = [("o", "a", 1), ("o", "b", 1), ("a", "b", 1), ("o", "c", 1), ("o", "d", 1), ("c", "d", 1)]
+    e = K.link_groups(bow)
+    assert len({e[p] for p in (("a", "b"), ("a", "o"), ("b", "o"))}) == 1 and len(set(e.values())) == 2
+    assert len(set(K.link_groups([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)]).values())) == 3
+
+
+def test_the_graph_of_a_document(spark):
+    entities = spark.createDataFrame([("d", 1, "lantern", ["t"]), ("d", 1, "quay", ["t"]), ("d", 2, "lanterns", ["t"]), ("d", 2, "mill", ["t"]), ("d", 2, "quay", ["t"]), ("d", 3, "alone", None)], "doc_id string, chunk_id bigint, name string, types array<string>")
+    relations = spark.createDataFrame([("d", 1, "lantern", "quay", 20.0), ("d", 2, "quay", "lanterns", 5.0), ("d", 2, "mill", "quay", -3.0), ("d", 2, "mill", "ghost", 9.0)], "doc_id string, chunk_id bigint, source string, target string, strength double")
+    nodes, edges = K.built(entities, relations, 0.8)
+    assert {(r.entity, tuple(r.chunk_ids)) for r in nodes.collect()} == {("lantern", (1, 2)), ("quay", (1, 2)), ("mill", (2,)), ("alone", (3,))}
+    # what two chunks say of one pair is the last one's, under the first name
+    assert {(r.source, r.target, r.strength, r.chunk_id) for r in edges.collect()} == {("lantern", "quay", 0.5, 2), ("mill", "quay", 0.0, 2)}
+    got = {(r.chunk_id, r.community, r.entity) for r in K.graph_communities(nodes, edges).collect()}
+    assert {(3, 0, "alone"), (1, 0, "lantern"), (1, 0, "quay")} <= got and {c for k, c, _ in got if k == 2} == {0, 1}
+    members = spark.createDataFrame([("d", 1, 10, "a"), ("d", 1, 11, "b"), ("d", 2, 20, "a"), ("d", 2, 20, "c"), ("d", 3, 30, "c")], "doc_id string, chunk_id bigint, community bigint, entity string")
+    links = spark.createDataFrame([("d", "a", "b", 0.4), ("d", "b", "c", 0.6), ("d", "a", "c", 0.2)], "doc_id string, source string, target string, strength double")
+    # 20 and 30 are alone in their chunks, so only 11 takes the mean; all shared entities weigh 1
+    assert {(r.u, r.v, r.weight) for r in K.community_edges(members, links).collect()} == {(10, 11, 0.4), (10, 20, 1.0), (20, 30, 1.0)}
+    text = K.community_texts(members, links, spark.createDataFrame([("d", "b", "bee")], "doc_id string, entity string, description string")).where("community = 11").first().elements
+    assert text == "Entities:\nb, bee\n\nRelationships:\na, b, 0.4\nb, c, 0.6"
+
+
 def test_names_that_differ_at_the_front_are_linked(spark):
     names = ["northern harbour archive", "enorthern harbour archive", "quay", "Northern harbour archive"]
     rows = spark.createDataFrame([("d", n, i, ["entity"]) for i, n in enumerate(names)], "doc_id string, name string, chunk_id bigint, types array<string>")
