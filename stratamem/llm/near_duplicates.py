@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.llm.text import mixed, shingles, word_hashes, words
+from stratamem.llm.text import Lexicon, mixed, shingles, word_hashes, words
 from stratamem.llm.vectors import binary, matrix
 from stratamem.operators.components import connected_components
 from stratamem.storage import latest, materialize, width
@@ -42,31 +42,35 @@ COPY_ROWS = 20_000
 MULTIPLIERS = mixed(np.arange(1, BITS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+LANES = np.arange(1, ROUTE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def routing_bits(hashes: np.ndarray) -> np.ndarray:
     """Sign hash of the words, each counting as the root of its frequency."""
-    unique, n = np.unique(hashes, return_counts=True)
-    lanes = mixed(unique[:, None] + np.arange(1, ROUTE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    signs = np.unpackbits(lanes.view(np.uint8), axis=1)
-    weight = np.sqrt(n).astype(np.float32)
-    return weight @ signs > weight.sum() / 2
+    ordered = np.sort(hashes)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    signs = np.unpackbits(mixed(ordered[first, None] + LANES).view(np.uint8), axis=1)
+    weight = np.sqrt(np.diff(np.r_[first, len(ordered)])).astype(np.float32)
+    return weight @ signs.astype(np.float32) > weight.sum() / 2
 
 
 def minhash_bits(items: np.ndarray) -> np.ndarray:
     """One bit of each of 256 minhashes."""
     low = np.full(BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(items), 4096):
-        low = np.minimum(low, (items[i : i + 4096, None] * MULTIPLIERS).min(axis=0))
+    for i in range(0, len(items), 128):  # small enough for the cache
+        low = np.minimum(low, (items[i : i + 128, None] * MULTIPLIERS).min(axis=0))
     return (mixed(low) & np.uint64(1)).astype(bool)
 
 
 def fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        lexicon = Lexicon(lambda word: 0)
         for batch in batches:
             ids, keys, sizes, route, check = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = word_hashes(words(text), cache)
-                s = shingles(h, shingle)
+            hashes, _, ends = lexicon.look_up([words(t) for t in batch.column(1).to_pylist()])
+            every = shingles(hashes, shingle)
+            for i, a, b in zip(batch.column(0).to_pylist(), np.r_[0, ends[:-1]], ends, strict=True):
+                s = every[a : max(a, b - shingle + 1)]
                 if not len(s):
                     continue
                 unique = np.unique(s)
@@ -75,7 +79,7 @@ def fingerprints(shingle: int):
                 order = mixed(s + np.arange(1, len(s) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 keys.append((np.bitwise_xor.reduce(order), order.sum(dtype=np.uint64)))
                 sizes.append(len(unique))
-                route.append(routing_bits(h))
+                route.append(routing_bits(hashes[a:b]))
                 check.append(minhash_bits(unique))
             if ids:
                 pack = lambda rows: binary(np.packbits(np.array(rows), axis=1))

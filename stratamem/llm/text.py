@@ -23,7 +23,10 @@ def folded(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(INNER.sub("", folded(text)))
+    text = folded(text)
+    if "'" in text or "\u2019" in text or "\u02bc" in text:
+        text = INNER.sub("", text)
+    return WORD.findall(text)
 
 
 def word_hashes(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
