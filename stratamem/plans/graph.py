@@ -10,6 +10,7 @@ from stratamem.operators import explore as E
 from stratamem.operators import personas as P
 from stratamem.operators import similarity as S
 from stratamem.storage import materialize, table
+from stratamem.streaming import incremental as I
 
 K = 10
 #: (weight, sigma, gamma) of a graph with many small neighbourhoods, and of one with real clusters.
@@ -160,16 +161,13 @@ def prune_and_grow(spark, d):
 
 
 def incremental_personas(spark, d):
-    """Personas after the last fifth of the nodes has arrived: only new nodes and their neighbours are split anew."""
-    n = nodes(spark, d)
-    old = edges(spark, d)
-    last = n.agg(F.max("id")).first()[0] or 0
-    new = n.where(F.col("id") > last * 0.8).select("id")
-    before = old.join(new, old.u == new.id, "left_anti").join(new, old.v == new.id, "left_anti")
-    affected = new.unionByName(P.adjacency(old).join(new, F.col("b") == new.id, "left_semi").select(F.col("a").alias("id"))).distinct()
-    kept = P.ego_components(before).join(affected, F.col("o") == F.col("id"), "left_anti")
-    fresh = P.ego_components(old).join(affected, F.col("o") == F.col("id"), "left_semi")
-    return kept.unionByName(fresh)
+    """Personas after the nodes above four fifths of the ids have arrived: only new nodes and their neighbours are split anew."""
+    every = edges(spark, d)
+    last = nodes(spark, d).agg(F.max("id")).first()[0] or 0
+    new = materialize(nodes(spark, d).where(F.col("id") > last * 0.8).select("id"), "arrived")
+    fresh = materialize(every.join(new, every.u == new.id, "left_semi").unionByName(every.join(new, every.v == new.id, "left_semi")).distinct(), "fresh-edges")
+    state = materialize(P.ego_components(every.join(fresh.select("u", "v"), ["u", "v"], "left_anti")), "state-before")  # what an earlier batch has left
+    return I.refreshed(state, every, I.affected(fresh, new))
 
 
 QUERIES = (

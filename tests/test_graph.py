@@ -8,6 +8,7 @@ from stratamem.operators import personas as P
 from stratamem.operators import similarity as S
 from stratamem.operators.components import connected_components
 from stratamem.plans import graph
+from stratamem.streaming import incremental as I
 from stratamem.streaming.incremental import IncrementalMemory
 
 
@@ -123,10 +124,44 @@ def test_incremental_equals_split_of_its_edges(spark, tmp_path):
     e, c = memory.load("edges", v), memory.load("components", v)
     assert memory.load("nodes", v).count() == 40
     assert {tuple(r) for r in P.ego_components(e).collect()} == {tuple(r) for r in c.select("o", "p", "comp").collect()}
+    links = {(r.u, r.v): {r.p, r.q} for r in memory.load("links", v).collect()}
+    comp = {(r.o, r.p): r.comp for r in c.collect()}
+    assert links == {(r.u, r.v): {f"{r.u}:{comp[r.u, r.v]}", f"{r.v}:{comp[r.v, r.u]}"} for r in e.collect()}
+    # of the first batch nobody picks again, and each new node picks its three best of all
+    x = np.array([r[1] for r in rows])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = np.round(0.6 * np.maximum(0, u @ u.T) + 0.4 * np.exp(-((np.arange(40)[:, None] - np.arange(40)) ** 2) / 2), 6)
+    want = set()
+    for i in range(40):
+        seen = [j for j in range(20 if i < 20 else 40) if j != i and sim[i, j] >= 0.4]
+        want |= {(min(i, j), max(i, j)) for j in sorted(seen, key=lambda j: (-sim[i, j], j))[:3]}
+    assert {(r.u, r.v) for r in e.collect()} == want
+    names = {f"{o}:{k}" for (o, _), k in comp.items()}
+    labels = {r.persona: r.label for r in memory.load("labels", v).collect()}
+    assert names <= labels.keys()
+    clusters = {}
+    for r in memory.clusters(v).collect():
+        clusters.setdefault(r.label, set()).add(r.node)
+    said = {r.label: r.text for r in memory.load("summaries", v).collect()}
+    assert clusters.keys() <= said.keys() and set().union(*clusters.values()) == {o for o, _ in comp}
+    assert memory.spark.read.parquet(f"{memory.path}/v{v}/nodes").count() == 20  # a version holds its own rows only
     memory.add(spark.createDataFrame(rows[:5], "id bigint, vec array<double>"), v)
     assert memory.version() == v
 
 
+def test_only_changed_clusters_are_told(spark):
+    before = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "label string, node bigint")
+    after = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), ("b", 5), ("d", 4)], "label string, node bigint")
+    assert {r.label for r in I.changed_clusters(before, after).collect()} == {"b", "d"}
+
+
+def test_labels_spread_from_the_active_only(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y")], "p string, q string")
+    labels = spark.createDataFrame([(k, k) for k in "abcxy"], "persona string, label string")
+    got = {r.persona: r.label for r in I.relabelled(labels, links, spark.createDataFrame([("a",)], "persona string")).collect()}
+    assert got == {"a": "c", "b": "c", "c": "c", "x": "x", "y": "y"}
+
+
 def looped_hierarchy(ids, pairs, rounds, cap, max_level=10):
     """The rule of ``hierarchy`` in plain loops: ``(sizes, composed rows)``."""
     place = {n: k for k, n in enumerate(sorted(ids))}
