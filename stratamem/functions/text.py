@@ -56,3 +56,20 @@ def json_object(c: Column) -> Column:
 def title_stem(c: Column) -> Column:
     """A chunk title without its chunk suffix."""
     return F.regexp_replace(c, r"_chunk(ed)?_.*$", "")
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first column that is not null, empty or blank, trimmed."""
+    return F.coalesce(*[F.nullif(trim_ws(F.coalesce(c, F.lit(""))), F.lit("")) for c in columns])
+
+
+def record_title(row: list[str], body: str, key: str) -> Column:
+    """Title, headline or name, else the first line of the body (120 characters), else ``doc_`` and the key; ``row`` names the columns there are."""
+    named = [F.col(c) for c in ("title", "headline", "name") if c in row]
+    first = F.left(trim_ws(F.split(trim_ws(F.coalesce(F.col(body), F.lit(""))), "\n", -1)[0]), F.lit(120))
+    return F.coalesce(*([first_filled(*named)] if named else []), F.nullif(first, F.lit("")), F.concat(F.lit("doc_"), F.col(key).cast("string")))
+
+
+def record_text(row: list[str], field: str = "body") -> Column:
+    """The wanted field, else text, body or content, else the whole record as JSON."""
+    return F.coalesce(*[F.col(c) for c in dict.fromkeys([field, "text", "body", "content"]) if c in row], F.to_json(F.struct(*row)))

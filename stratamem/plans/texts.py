@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from stratamem.functions import text as T
 from stratamem.operators import chunking as C
+from stratamem.operators import metrics as S
 from stratamem.operators import runs as R
 from stratamem.storage import latest, table
 
@@ -130,23 +131,32 @@ def rouge2(spark, d):
 
 def rougeL(spark, d):
     """F-measure of the longest common subsequence of words."""
+    rows = items(spark, d).where("question is not null and passage is not null")
+    return S.rouge(rows, ("item_id",), "question", "passage", stemmed=False).select("item_id", F.col("rougeL").alias("f1"))
 
-    def run(frames):
-        import re
 
-        for f in frames:
-            out = []
-            for key, a, b in zip(f.item_id, f.question, f.passage, strict=True):
-                x, y = re.findall("[a-z0-9]+", a.lower()), re.findall("[a-z0-9]+", b.lower())
-                row = [0] * (len(y) + 1)
-                for w in x:
-                    last = 0
-                    for j, v in enumerate(y):
-                        last, row[j + 1] = row[j + 1], last + 1 if w == v else max(row[j + 1], row[j])
-                out.append((key, round(2 * row[-1] / (len(x) + len(y)), 6) if row[-1] else 0.0))
-            yield f.iloc[:0][["item_id"]].assign(f1=0.0) if not out else type(f)(out, columns=["item_id", "f1"])
+def rouge_stemmed(spark, d):
+    """The three ROUGE scores over stems."""
+    rows = items(spark, d).where("question is not null and passage is not null")
+    return S.rouge(rows, ("item_id",), "question", "passage")
 
-    return items(spark, d).where("question is not null and passage is not null").select("item_id", "question", "passage").mapInPandas(run, "item_id bigint, f1 double")
+
+def best_rouge(spark, d):
+    """The best ROUGE of each item over its options as references."""
+    scores = S.rouge(options(spark, d), ("item_id", "option_idx"), "option", "answer", stemmed=False)
+    return S.best_over_references(scores, "item_id", ("rouge1", "rouge2"))
+
+
+def graded_report(spark, d):
+    """Results of every event against the last type its user is listed under: a join with duplicate keys, a fallback and a total."""
+    e = table(spark, d, "events")
+    results = e.select(F.when(F.col("event_id") % 10 != 0, F.col("user_id")).alias("id"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("judge"), F.when(F.col("event_id") % 3 == 1, 1.0).alias("label"), "value")
+    types = e.where("event_id % 2 = 0").select(F.col("user_id").alias("id"), F.col("event_type").alias("question_type"), F.col("event_id").alias("place"))
+    return S.report(results, types, ("value",), fallback="label")
+
+
+def answer_accuracy(spark, d):
+    return S.accuracy(options(spark, d), F.lower(T.trim_ws(F.col("answer"))) == F.lower(T.trim_ws(F.col("option"))))
 
 
 def claim_confusion_f1(spark, d):
@@ -170,15 +180,13 @@ def contiguous_merge(spark, d):
 
 
 def entity_list_parse(spark, d):
-    rows = latest(table(spark, d, "chunk_metadata").where("gist like '%;%'"), "chunk_id", "gist")
+    rows = latest(table(spark, d, "chunk_metadata").where("gist is not null"), "chunk_id", "gist")
     return rows.select("chunk_id", F.array_join(T.entity_list(F.col("gist")), "|").alias("entities"))
 
 
 def record_titles(spark, d):
     c = latest(table(spark, d, "corpus"), "rec_id", "title", "headline", "body")
-    blank = lambda x: F.nullif(T.trim_ws(F.coalesce(x, F.lit(""))), F.lit(""))
-    first = F.left(T.trim_ws(F.split(T.trim_ws(F.coalesce("body", F.lit(""))), "\n", -1)[0]), F.lit(120))
-    return c.select("rec_id", F.coalesce(blank(F.col("title")), blank(F.col("headline")), F.nullif(first, F.lit("")), F.concat(F.lit("doc_"), "rec_id")).alias("title"))
+    return c.select("rec_id", T.record_title(c.columns, "body", "rec_id").alias("title"))
 
 
 def filename_sanitize_dedupe(spark, d):
@@ -230,7 +238,7 @@ def entity_type_similarity(spark, d):
 
 QUERIES = (
     paragraph_split, greedy_token_chunks, token_totals, book_chunks, conversation_chunks, split_turn_chunks, information_preserved, turn_chunks, session_book, normalize_answer, token_f1,
-    exact_match, max_over_references, rouge1, rouge2, rougeL, claim_confusion_f1, grouped_metrics_overall, last_wins_lookup, contiguous_merge, entity_list_parse,
+    exact_match, max_over_references, rouge1, rouge2, rougeL, rouge_stemmed, best_rouge, graded_report, answer_accuracy, claim_confusion_f1, grouped_metrics_overall, last_wins_lookup, contiguous_merge, entity_list_parse,
     record_titles, filename_sanitize_dedupe, corpus_texts, title_documents, json_fallback_parse, required_fields, seeded_sample, skip_existing, entity_type_similarity,
 )
 
@@ -285,6 +293,15 @@ FROM s WHERE session IS NULL AND {TRIM.format('content')} <> '' GROUP BY doc_id,
         "max_over_references": f"WITH {SCORES}, best AS (SELECT item_id, coalesce(question_type, 'Unknown') AS question_type, max(f1) AS b FROM scored GROUP BY ALL) SELECT question_type, count(*) AS n, round(avg(b), 6) AS f1 FROM best GROUP BY question_type",
         "rouge1": rouge_sql(1),
         "rouge2": rouge_sql(2),
+        "best_rouge": f"""WITH {OPTIONS}, w AS (SELECT item_id, option_idx, list_filter(regexp_split_to_array(lower(answer), '[^a-z0-9]+'), lambda x: x <> '') AS p, list_filter(regexp_split_to_array(lower(option), '[^a-z0-9]+'), lambda x: x <> '') AS g FROM options),
+n AS (SELECT item_id, option_idx, k, {", ".join(f"(CASE WHEN len({c}) >= k THEN list_transform(generate_series(1, len({c}) - k + 1), lambda i: array_to_string({c}[i:i + k - 1], ' ')) ELSE [] END) AS {c}" for c in "pg")} FROM w, (VALUES (1), (2)) v(k)),
+h AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) AS hits FROM n),
+f AS (SELECT item_id, k, CASE WHEN hits = 0 THEN 0.0 ELSE round(2.0 * hits / (len(p) + len(g)), 6) END AS f FROM h)
+SELECT item_id, max(f) FILTER (k = 1) AS rouge1, max(f) FILTER (k = 2) AS rouge2 FROM f GROUP BY item_id""",
+        "graded_report": """WITH t AS (SELECT user_id AS id, event_type AS question_type FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+r AS (SELECT coalesce(question_type, 'Unknown') AS question_type, value, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, CASE WHEN event_id % 3 = 1 THEN 1.0 END, 0.0) AS judge FROM events JOIN t ON t.id = user_id WHERE event_id % 10 <> 0)
+SELECT question_type, grouping(question_type) AS is_total, count(*) AS n, round(avg(coalesce(value, 0)), 6) AS value, round(avg(judge), 6) AS judge FROM r GROUP BY GROUPING SETS ((question_type), ())""",
+        "answer_accuracy": f"WITH {OPTIONS}, r AS (SELECT count(*) AS n, coalesce(sum((lower({TRIM.format('answer')}) = lower({TRIM.format('option')}))::INT), 0)::BIGINT AS \"right\" FROM options) SELECT n, \"right\", \"right\" / greatest(1, n) AS accuracy FROM r",
         "claim_confusion_f1": f"""WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'no' END AS gold, CASE WHEN l_linestatus = 'F' THEN 'yes' WHEN l_quantity > 45 THEN 'maybe' ELSE 'no' END AS guess FROM lineitem),
 c AS (SELECT count(*) FILTER ({yes['g']} AND guess = 'yes') AS tp_true, count(*) FILTER ({yes['g']} AND guess <> 'yes') AS fn_true, count(*) FILTER ({yes['n']} AND guess <> 'no') AS fp_true,
 count(*) FILTER ({yes['n']} AND guess = 'no') AS tp_false, count(*) FILTER ({yes['n']} AND guess <> 'no') AS fn_false, count(*) FILTER ({yes['g']} AND guess <> 'yes') AS fp_false, count(*) AS n FROM r) SELECT *, {f1('true')}, {f1('false')} FROM c""",
@@ -292,7 +309,7 @@ count(*) FILTER ({yes['n']} AND guess = 'no') AS tp_false, count(*) FILTER ({yes
 SELECT question_type, grouping(question_type) AS is_total, count(*) AS n, printf('%.2f', 100 * avg(ok::INT)) AS right_pct, round(avg(n), 4) AS mean_chars FROM r GROUP BY GROUPING SETS ((question_type), ())""",
         "last_wins_lookup": "SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "contiguous_merge": f"WITH c AS (SELECT *, chunk_id - row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS island FROM {chunks}) SELECT doc_id, max(chunk_id) AS node_id, count(*) AS n, md5(string_agg(text, ' ' ORDER BY chunk_id)) AS text_md5 FROM c GROUP BY doc_id, island",
-        "entity_list_parse": f"""WITH i AS (SELECT chunk_id, unnest(string_split(gist, ';')) AS raw, generate_subscripts(string_split(gist, ';'), 1) AS k FROM {last_of("chunk_metadata", "chunk_id", "gist", "gist LIKE '%;%'")}),
+        "entity_list_parse": f"""WITH i AS (SELECT chunk_id, unnest(string_split(gist, ';')) AS raw, generate_subscripts(string_split(gist, ';'), 1) AS k FROM {last_of("chunk_metadata", "chunk_id", "gist", "gist IS NOT NULL")}),
 f AS (SELECT chunk_id, item, min(k) AS k FROM (SELECT chunk_id, {TRIM.format('raw')} AS item, k FROM i) GROUP BY chunk_id, item), r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY k) AS n FROM f)
 SELECT chunk_id, coalesce(string_agg(item, '|' ORDER BY n) FILTER (item <> '' AND n <= 5), '') AS entities FROM r GROUP BY chunk_id""",
         "record_titles": titles,

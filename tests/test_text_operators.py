@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamem.functions import text as T
+from stratamem.functions import vectors as V
 from stratamem.operators import chunking as C
 from stratamem.operators import knowledge as K
+from stratamem.operators import metrics as S
 from stratamem.operators import models as M
 from stratamem.operators import runs as R
 from stratamem.sources import readers, sinks
@@ -200,7 +202,26 @@ def test_readers_and_sinks(spark, tmp_path):
     got = readers.conversations(spark, str(tmp_path / "q")).orderBy("turn").collect()
     assert [(r.book_id, r.session, r.date, r.turn, r.role, r.content) for r in got] == [("q1", 1, "d1", 0, "user", "hi"), ("q1", 1, "d1", 2, "Unknown", "yo")]
     (tmp_path / "j/lines.json").write_text('{"claim": "a", "label": "yes"}\n{"claim": "b", "label": "no"}\n')
-    assert readers.records(spark, str(tmp_path / "j"), readers.CLAIMS).count() == 2
+    (tmp_path / "j/array.json").write_text('[{"claim": "c", "label": "yes"}, 5, "x", {"claim": "d"}]')
+    (tmp_path / "j/one.json").write_text('{"claim": "e",\n "label": "no"}')
+    (tmp_path / "j/torn.json").write_text('{"claim": "f"}\n{"claim": "g\n')
+    rows = readers.records(spark, str(tmp_path / "j"), readers.CLAIMS)
+    assert sorted(r.claim for r in readers.only_good(rows).collect()) == ["a", "b", "c", "d", "e", "f"]
+    assert sorted(r._broken for r in rows.where("_broken is not null").collect()) == ["5", "x", '{"claim": "g']
+    with pytest.raises(Exception, match="no array of records"):
+        readers.records(spark, str(tmp_path / "j/one.json"), readers.CLAIMS, strict=True).collect()
+    assert readers.records(spark, str(tmp_path / "j/lines.json"), readers.CLAIMS, lines=True).count() == 2
+    np.save(tmp_path / "n/Long.npy", np.arange(30, dtype=np.float64).reshape(10, 3))
+    long = readers.matrices(spark, str(tmp_path / "n"), rows=4).where("book_id = 'Long'")
+    assert [(r.row, list(r.vec)) for r in long.orderBy("row").collect()] == [(i, [3 * i, 3 * i + 1, 3 * i + 2]) for i in range(10)]
+    meta = spark.createDataFrame([(0, "a"), (7, "b"), (99, "c")], "chunk_id bigint, text string")
+    assert [(r.chunk_id, r.vec[0]) for r in readers.merged(meta, long).orderBy("chunk_id").collect()] == [(0, 0), (7, 21)]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/level.gexf").write_text('''<?xml version="1.0"?><gexf><graph><attributes class="node"><attribute id="0" title="text" type="string"/><attribute id="1" title="community" type="string"/></attributes>
+<nodes><node id="3" label="3"><attvalues><attvalue for="0" value="hi"/><attvalue for="1" value="[1, 2]"/></attvalues></node><node id="4" label="4"></node></nodes><edges><edge source="3" target="4" id="0" weight="0.5"/></edges></graph></gexf>''')
+    nodes, edges = readers.gexf(spark, str(tmp_path / "g"))
+    got = {r.id: r for r in nodes.withColumn("ids", readers.id_list(F.col("attributes")["community"])).collect()}
+    assert got[3].attributes["text"] == "hi" and got[3].ids == [1, 2] and got[4].ids is None and tuple(edges.first()) == (3, 4, 0.5)
     df = spark.createDataFrame([(1, 0.5)], "id bigint, v double")
     out = str(tmp_path / "t")
     sinks.append_missing(df, out, "id")
@@ -213,6 +234,45 @@ def test_readers_and_sinks(spark, tmp_path):
         sinks.snapshot(spark, out, str(tmp_path / "s"))
 
 
+def test_record_fallbacks_and_gaps(spark):
+    rows = spark.createDataFrame([(1, " ", None, "N", None), (2, None, None, None, "\n first \nx"), (3, None, None, "", " ")], "id bigint, title string, headline string, name string, body string")
+    assert [r.t for r in rows.orderBy("id").select(T.record_title(rows.columns, "body", "id").alias("t")).collect()] == ["N", "first", "doc_3"]
+    assert one(spark, T.record_text(["c0"]), "x") == '{"c0":"x"}'
+    gaps = spark.createDataFrame([([1, 9], [4, 20]), ([], [3])], "a array<int>, b array<int>").select(V.least_gap(F.col("a"), F.col("b")).alias("g"), V.list_proximity(F.col("a"), F.col("b"), 3.0).alias("p")).collect()
+    assert gaps[0].g == 3 and abs(gaps[0].p - np.exp(-0.5)) < 1e-12 and gaps[1].g is None and gaps[1].p == 0
+
+
+def test_stems_are_porters():
+    pairs = "caresses caress ponies poni cats cat agreed agre plastered plaster motoring motor sized size hopping hop falling fall filing file happy happi relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal hopefulness hope formality formal electrical electr goodness good revival reviv allowance allow adjustment adjust adoption adopt effective effect probate probat rate rate controlling control rolling roll sky sky"
+    words = pairs.split()
+    assert [S.stem(w) for w in words[::2]] == words[1::2]
+
+
+def test_rouge_and_reports(spark):
+    rows = spark.createDataFrame([(1, "The cats were running home", "a cat runs home"), (2, None, "x"), (3, "a b c d", "b d c")], "id bigint, r string, p string")
+    got = {r.id: (r.rouge1, r.rouge2, r.rougeL) for r in S.rouge(rows, ("id",), "r", "p").collect()}
+    assert got == {1: (0.666667, 0.285714, 0.666667), 2: (0.0, 0.0, 0.0), 3: (0.857143, 0.0, 0.571429)}
+    results = spark.createDataFrame([(1, 0.5, None, 1.0), (2, 1.0, 0.0, 1.0), (None, 9.0, 9.0, 9.0), (7, 9.0, 9.0, 9.0)], "id bigint, m double, judge double, label double")
+    types = spark.createDataFrame([(1, "old", 0), (1, "Overall", 1), (2, None, 2)], "id bigint, question_type string, place int")
+    rep = [(r.question_type, r.is_total, r.n, r.m, r.judge) for r in S.report(results, types, ("m",), fallback="label").collect()]
+    assert rep == [("Overall", 0, 1, 0.5, 1.0), ("Unknown", 0, 1, 1.0, 0.0), (None, 1, 2, 0.75, 0.5)]
+    assert S.accuracy(rows.limit(0), F.lit(True)).first().accuracy == 0
+
+
+def test_memory_outputs(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", 0, 0, "x", []), ("b", 0, 1, "y", []), ("b", 1, 2, "z", [0, 1])], "book_id string, level int, node_id bigint, text string, children array<bigint>")
+    edges = spark.createDataFrame([("b", 0, 0, 1, 0.5)], "book_id string, level int, u bigint, v bigint, weight double")
+    sinks.write_memory(nodes, edges, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m/nodes")).where("level = 1").first().text == "z"
+    sinks.write_communities(nodes, str(tmp_path / "c"))
+    assert sorted((r.level, r.community, r.node_id) for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [(0, 2, 0), (0, 2, 1)]
+    sinks.write_books(spark.createDataFrame([("A b", "one\ntwo")], "book_id string, text string"), str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["one", "two"]
+    sinks.write_json_by_id(spark.createDataFrame([(1, "q", None)], "qid int, question string, options string"), str(tmp_path / "q"), "qid")
+    assert spark.read.text(str(tmp_path / "q")).first().value == '{"qid":1,"question":"q"}'
+    assert [r.line for r in sinks.table_lines(spark.createDataFrame([("a", 0.5), (None, 1.0)], "kind string, share double"), 8).collect()] == ["kind    share", "a       0.50", "-       1.00"]
+
+
 def test_queries_have_matching_columns(spark):
     import __spark_entry__ as entry
 
