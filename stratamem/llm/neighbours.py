@@ -2,9 +2,11 @@
 
 Each curve has its own rotation and its own shift: vectors are projected to a
 few dimensions, quantised, and put in Hilbert order. Spark range-partitions the
-rows by curve and key; within a partition windows of neighbouring keys are
-scored as one matrix product, each window merging with the end of the one before.
-The lists of all curves are merged and ranked again by exact cosine.
+rows by curve and key; within a range windows of neighbouring keys are scored as
+one matrix product, each window merging with the end of the one before. A range
+also gets the last rows of the range before it, so that the first of its windows
+merges like all others. The lists of all curves are merged and ranked again by
+exact cosine.
 """
 
 from __future__ import annotations
@@ -84,13 +86,10 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours_in_windows(k: int, dim: int):
-    def pairs(x: np.ndarray, xid: np.ndarray, y: np.ndarray, yid: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(scores: np.ndarray, x: np.ndarray, xid: np.ndarray, y: np.ndarray, yid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = [], []
         for i in range(0, len(x), 512):
-            scores = x[i : i + 512] @ y.T
-            if same:
-                np.fill_diagonal(scores[:, i:], -2)
-            r, c = best(scores, k)
+            r, c = best(np.ascontiguousarray(scores[i : i + 512]), k)
             a.append(r + i)
             b.append(c)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -104,12 +103,15 @@ def neighbours_in_windows(k: int, dim: int):
         return xid[a[order]], other[order], score[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve, held, tail = None, [], None
+        place, held, tail = None, [], None
 
-        def flush(vectors: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-            found = [pairs(vectors, ids, vectors, ids, True)]
+        def flush(x: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            scores = x @ x.T  # half the work of a product of two matrices
+            np.fill_diagonal(scores, -2)
+            found = [pairs(scores, x, ids, x, ids)]
             if tail is not None:
-                found += [pairs(vectors, ids, *tail, False), pairs(*tail, vectors, ids, False)]
+                scores = x @ tail[0].T  # one product for both directions
+                found += [pairs(scores, x, ids, *tail), pairs(scores.T, *tail, x, ids)]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "other", "score"])
 
         def windows(last: bool):
@@ -121,18 +123,41 @@ def neighbours_in_windows(k: int, dim: int):
                 tail = (now[0][-BEFORE:], now[1][-BEFORE:])
 
         for batch in batches:
-            marks, ids, vectors = np.asarray(batch.column(0)), np.asarray(batch.column(1)), matrix(batch.column(2))
-            for part in np.split(np.arange(len(marks)), np.flatnonzero(np.diff(marks)) + 1) if len(marks) else []:
-                if marks[part[0]] != curve:
+            marks, lead, ids, vectors = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), matrix(batch.column(3))
+            for part in np.split(np.arange(len(marks)), np.flatnonzero((np.diff(marks) != 0) | (np.diff(lead) != 0)) + 1) if len(marks) else []:
+                rows = slice(part[0], part[-1] + 1)
+                if marks[part[0]] != place:
                     yield from windows(True)
-                    curve, tail = marks[part[0]], None
-                held.append((vectors[part[0] : part[-1] + 1], ids[part[0] : part[-1] + 1]))
+                    place, tail = marks[part[0]], None
+                if lead[part[0]] == 0:  # of the range before: seen by the first window, and asked there
+                    x, own = (vectors[rows], ids[rows]) if tail is None else (np.concatenate([tail[0], vectors[rows]]), np.concatenate([tail[1], ids[rows]]))
+                    tail = (x[-BEFORE:], own[-BEFORE:])
+                    continue
+                held.append((vectors[rows], ids[rows]))
                 yield from windows(False)
         yield from windows(True)
 
     return run
 
 
+def curve_keys(x: np.ndarray, model: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Place of each vector on each curve; vectors of one cell are told apart by a hash."""
+    low = np.ascontiguousarray(x).view(np.uint64).reshape(len(x), -1)
+    low = (np.bitwise_xor.reduce(low * np.arange(1, 2 * low.shape[1], 2, dtype=np.uint64), axis=1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 63 + SIGHT * BITS)
+    cells = lambda turn, edges: np.stack([np.searchsorted(e, v, side="right") for e, v in zip(edges.T, (x @ turn).T, strict=True)], axis=1)
+    return np.stack([(hilbert(cells(turn, edges), BITS) << np.uint64(63 - SIGHT * BITS)) | low for turn, edges in model], axis=1).astype(np.int64)
+
+
+def ranges(sample: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each curve where its ranges begin, and where the rows begin that a range sees of the one before; both from the sample's quantiles."""
+    parts = max(1, -(-n // RANGE_ROWS))
+    out = []
+    for keys in np.sort(sample, axis=0).T:
+        at = np.arange(1, parts) * len(keys) // parts
+        out.append((keys[at], keys[np.maximum(0, at - int(np.ceil(1.2 * BEFORE * len(keys) / max(1, n))) - 1)]))
+    return out
+
+
 def merged(k: int):
     """The ``k`` best of all lists of an id; a partition holds whole ids."""
 
@@ -157,25 +182,33 @@ def nearest_distinct(distinct: DataFrame, k: int, curves: int, dim: int) -> Data
     n = distinct.count()
     share = min(1.0, FIT_ROWS / max(1, n))
     sample = distinct.select("vec").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * FIT_ROWS).toArrow()
-    model = fit(matrix(sample.column("vec")).astype(np.float64) if len(sample) else np.zeros((0, dim)), curves)
-    shared = spark.sparkContext.broadcast(model)
+    seen = matrix(sample.column("vec")).copy() if len(sample) else np.zeros((0, dim), np.float32)
+    model = fit(seen.astype(np.float64), curves)
+    starts = ranges(curve_keys(seen, model), n) if len(seen) else [(np.zeros(0, np.int64),) * 2] * curves
+    shared = spark.sparkContext.broadcast((model, starts))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns, borders = shared.value
+        count = len(borders[0][0]) + 1
         for batch in batches:
             x = matrix(batch.column(1))
             if not len(x):
                 continue
-            low = np.frombuffer(x.tobytes(), dtype=np.uint64).reshape(len(x), -1)
-            low = (np.bitwise_xor.reduce(low * np.arange(1, 2 * low.shape[1], 2, dtype=np.uint64), axis=1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 63 + SIGHT * BITS)
-            keys = [(hilbert(np.stack([np.searchsorted(e, v, side="right") for e, v in zip(edges.T, (x @ turn).T, strict=True)], axis=1), BITS) << np.uint64(63 - SIGHT * BITS)) | low for turn, edges in shared.value]
-            keys = np.stack(keys, axis=1).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "vec", "keys"])
-
-    rows = materialize(distinct.select("id", "vec").mapInArrow(keyed, "id bigint, vec binary, keys array<bigint>"), "curve-keys")
-    spread = rows.select("id", "vec", F.posexplode("keys").alias("curve", "key"))
-    parts = width(spark, n * curves, RANGE_ROWS)
-    ranged = spread.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key").select("curve", "id", "vec")
+            rows, marks, keys, lead = [], [], [], []
+            for curve, (own, (first, early)) in enumerate(zip(curve_keys(x, turns).T, borders, strict=True)):
+                of = np.searchsorted(first, own, side="right")
+                near = np.flatnonzero((of < count - 1) & (own >= early[np.minimum(of, count - 2)])) if count > 1 else np.zeros(0, dtype=int)
+                rows += [np.arange(len(x)), near]
+                marks += [curve * count + of, curve * count + of[near] + 1]
+                keys += [own, own[near]]
+                lead += [np.ones(len(x), np.int8), np.zeros(len(near), np.int8)]
+            mark, key, side = (np.concatenate(c) for c in (marks, keys, lead))
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(mark.astype(np.int32)), pa.array(side), pa.array(key), batch.column(0).take(take), batch.column(1).take(take)], ["place", "lead", "key", "id", "vec"])
+
+    spread = distinct.select("id", "vec").mapInArrow(keyed, "place int, lead tinyint, key bigint, id bigint, vec binary")
+    parts = curves * (len(starts[0][0]) + 1)
+    ranged = spread.repartitionById(parts, "place").sortWithinPartitions("place", "lead", "key").select("place", "lead", "id", "vec")
     found = ranged.mapInArrow(neighbours_in_windows(k, dim), "id bigint, other bigint, score bigint")
     return found.repartition(width(spark, n, 20_000), "id").mapInArrow(merged(k), "id bigint, other bigint, cosine double")
 
