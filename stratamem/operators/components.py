@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.storage import materialize
+from stratamem.storage import Rounds, release, stored
 
 
 def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
@@ -22,18 +22,18 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_round
     both = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(
         *k, F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")
     ).select(*k, "e.a", "e.b").distinct()
-    both = materialize(both, "cc-edges")
-    labels = materialize(both.groupBy(*k, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    both, edge_path = stored(both, "cc-edges")
+    state = Rounds("cc-labels")
+    labels = state.write(both.groupBy(*k, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), [*k, "b"]).groupBy(*k, F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, [*k, "node"]).select(*k, "node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(*k, F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = materialize(
-            step.join(jump, [*k, "mid"], "left").select(*k, "node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), "cc-labels"
-        )
+        new = state.write(step.join(jump, [*k, "mid"], "left").select(*k, "node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"))
         labels = new.drop("old")
         if new.where(F.col("label") != F.col("old")).isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release(edges.sparkSession, edge_path)
     return labels.withColumnRenamed("label", "component")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratamem.operators.components import connected_components
-from stratamem.storage import materialize
+from stratamem.storage import Rounds, materialize
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -16,12 +18,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def ego_triangles(edges: DataFrame) -> DataFrame:
-    """``(o, p, r)``: ``p`` and ``r`` are adjacent neighbours of ``o``."""
+    """``(o, p, r)``: ``p`` and ``r`` are adjacent neighbours of ``o``.
+
+    Each triangle is found once, from its corner of least degree, and then told from
+    all sides: a hub only pairs the neighbours of more edges than its own, so it is
+    no hot key.
+    """
     adj = adjacency(edges)
-    left = adj.select(F.col("a").alias("o"), F.col("b").alias("p"))
-    middle = adj.select(F.col("a").alias("p"), F.col("b").alias("r"))
-    right = adj.select(F.col("a").alias("o"), F.col("b").alias("r"))
-    return left.join(middle, "p").join(right, ["o", "r"]).select("o", "p", "r")
+    degree = adj.groupBy("a").agg(F.count("*").alias("n"))
+    known = adj.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
+    up = known.where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))).select("a", "b", F.struct(F.col("m"), F.col("b")).alias("rank"))
+    wedge = up.select("a", F.col("b").alias("x"), F.col("rank").alias("rx")).join(up.select("a", F.col("b").alias("y"), F.col("rank").alias("ry")), "a").where("rx < ry")
+    found = wedge.join(up.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select("a", "x", "y")
+    sides = [("a", "x", "y"), ("a", "y", "x"), ("x", "a", "y"), ("x", "y", "a"), ("y", "a", "x"), ("y", "x", "a")]
+    return found.select(F.explode(F.array(*[F.struct(F.col(o).alias("o"), F.col(p).alias("p"), F.col(r).alias("r")) for o, p, r in sides])).alias("t")).select("t.*")
 
 
 def ego_components(edges: DataFrame) -> DataFrame:
@@ -40,6 +50,13 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return sorted_.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") + F.col("before")).drop("_part", "_rank", "before")
 
 
+def ranked(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """The place of each row in its group, from 0, by counts of range partitions: a group of any size is spread over tasks."""
+    placed = materialize(numbered(rows, [group, order], "_place"), "placed")
+    first = placed.groupBy(group).agg(F.min("_place").alias("_first"))
+    return placed.join(first, group).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
+
+
 def persona_nodes(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """``(persona, node, comp)``, numbered by node and component; an isolated node has one, of component -1."""
     split = comps.select(F.col("o").alias("node"), "comp").distinct()
@@ -60,28 +77,33 @@ def label_propagation(personas: DataFrame, edges: DataFrame, rounds: int = 8) ->
 
     A persona takes the largest of its neighbours' most frequent labels if that is
     larger than its own and its own is not among them; labels only rise, so it ends.
+    Labels that would still rise after ``rounds`` are told by a warning.
     """
     both = materialize(edges.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b")), F.struct(F.col("q").alias("a"), F.col("p").alias("b")))).alias("e")).select("e.*").distinct(), "persona-adjacency")
-    labels = personas.select("persona", F.col("persona").alias("label"))
+    labels, state, changed = personas.select("persona", F.col("persona").alias("label")), Rounds("labels"), False
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("persona", "b"), "b").groupBy(F.col("a").alias("persona"), F.col("label").alias("vote")).agg(F.count("*").alias("n"))
         seen = votes.join(labels, "persona")
         best = seen.groupBy("persona").agg(F.max(F.struct("n", "vote")).alias("top"), F.max(F.when(F.col("vote") == F.col("label"), F.col("n"))).alias("own"))
         step = labels.join(best, "persona", "left")
         keep = F.col("top").isNull() | (F.col("own") == F.col("top.n"))
-        labels = materialize(step.select("persona", F.when(keep, F.col("label")).otherwise(F.greatest("label", "top.vote")).alias("label"), F.col("label").alias("old")), "labels")
+        labels = state.write(step.select("persona", F.when(keep, F.col("label")).otherwise(F.greatest("label", "top.vote")).alias("label"), F.col("label").alias("old")))
         changed = not labels.where("label <> old").isEmpty()
         labels = labels.drop("old")
         if not changed:
             break
+    if changed:
+        logging.getLogger(__name__).warning("labels still changed in the last of %d rounds", rounds)
     return labels
 
 
 def capped_communities(labels: DataFrame, cap: int | None = 12) -> DataFrame:
     """``(persona, community)``: label groups cut into runs of ``cap`` in order of persona, numbered by label and run; no cap, no cut."""
-    order = F.row_number().over(Window.partitionBy("label").orderBy("persona")) - 1
-    run = F.floor(order / cap).cast("bigint") if cap else F.lit(0).cast("bigint")
-    split = materialize(labels.withColumn("run", run), "runs")
+    if cap:
+        split = ranked(labels, "label", "persona", "order").withColumn("run", F.floor(F.col("order") / cap).cast("bigint")).drop("order")
+    else:
+        split = labels.withColumn("run", F.lit(0).cast("bigint"))
+    split = materialize(split, "runs")
     ids = numbered(split.select("label", "run").distinct(), ["label", "run"], "community")
     return split.join(ids, ["label", "run"]).select("persona", "community")
 

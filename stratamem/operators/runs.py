@@ -7,10 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Consecutive ids whose run begins are looked for by one task.
+SPAN = 4096
+
+
 def contiguous_runs(rows: DataFrame, key: str, node: str, text: str) -> DataFrame:
-    """``(key, node_id, n, text)``: texts of consecutive ids joined by a blank, under the last id of the run."""
-    island = F.col(node) - F.row_number().over(Window.partitionBy(key).orderBy(node))
-    runs = rows.withColumn("island", island).groupBy(key, "island").agg(F.max(node).alias("node_id"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(node, text))).alias("parts"))
+    """``(key, node_id, n, text)``: texts of consecutive ids joined by a blank, under the last id of the run.
+
+    An id begins a run if the id before it is not there, which is a join on key and
+    id; the others take the last beginning in their span of ``SPAN`` ids or, if there
+    is none, that of the spans before, of which each is one row. A key with a third
+    of all rows is thus many tasks. Rows without a key or id are dropped; ids are
+    unique within a key.
+    """
+    base = rows.where(F.col(key).isNotNull() & F.col(node).isNotNull()).select(key, node, text)
+    before = base.select(key, (F.col(node) + 1).alias(node), F.lit(True).alias("_follows"))
+    marked = base.join(before, [key, node], "left").withColumn("_span", F.floor(F.col(node) / SPAN)).withColumn("_begin", F.when(F.col("_follows").isNull(), F.col(node)))
+    spans = marked.groupBy(key, "_span").agg(F.max("_begin").alias("_last"))
+    carried = F.last("_last", True).over(Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select(key, "_span", carried.alias("_carried"))
+    own = F.max("_begin").over(Window.partitionBy(key, "_span").orderBy(node).rowsBetween(Window.unboundedPreceding, 0))
+    placed = marked.withColumn("_own", own).join(spans, [key, "_span"]).withColumn("_run", F.coalesce("_own", "_carried"))
+    runs = placed.groupBy(key, "_run").agg(F.max(node).alias("node_id"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(node, text))).alias("parts"))
     return runs.select(key, "node_id", "n", F.array_join(F.transform("parts", lambda p: p[text]), " ").alias("text"))
 
 

@@ -9,6 +9,7 @@ from stratamem.functions import text as T
 from stratamem.operators import chunking as C
 from stratamem.operators import metrics as S
 from stratamem.operators import runs as R
+from stratamem.operators.personas import ranked
 from stratamem.storage import latest, table
 
 SIZE = 128
@@ -174,7 +175,7 @@ def last_wins_lookup(spark, d):
 
 
 def contiguous_merge(spark, d):
-    """Runs of consecutive chunks of a document; the hot document's runs are parted by id gaps, not held as one group."""
+    """Runs of consecutive chunks of a document."""
     rows = latest(table(spark, d, "chunks").where("doc_id is not null"), "chunk_id", "doc_id", "text").select("doc_id", "chunk_id", F.coalesce("text", F.lit("")).alias("text"))
     return R.contiguous_runs(rows, "doc_id", "chunk_id", "text").select("doc_id", "node_id", "n", F.md5("text").alias("text_md5"))
 
@@ -192,8 +193,7 @@ def record_titles(spark, d):
 def filename_sanitize_dedupe(spark, d):
     """File names of all records; the first of a name keeps it, later ones are numbered."""
     named = record_titles(spark, d).select("rec_id", T.sanitize_filename(F.col("title")).alias("name"))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("rec_id")) - 1
-    return named.withColumn("k", k).select("rec_id", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("k").cast("string"))).alias("file"))
+    return ranked(named, "name", "rec_id", "k").select("rec_id", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("k").cast("string"))).alias("file"))
 
 
 def corpus_texts(spark, d):

@@ -36,13 +36,32 @@ def release(spark: SparkSession, path: str) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of the files."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; a reader of the files, and where they are."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratamem/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(release, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of the files."""
+    return stored(df, name)[0]
+
+
+class Rounds:
+    """State of a loop: each round's table replaces the one of the round before, whose files are deleted."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out, path = stored(df, self.name)
+        if self.path:
+            release(df.sparkSession, self.path)
+        self.path = path
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,6 +37,15 @@ def test_runs(spark):
     assert got == {(5, "t3 t4 t5"), (8, "t8")}
 
 
+def test_long_runs_cross_their_spans(spark, monkeypatch):
+    monkeypatch.setattr(R, "SPAN", 8)
+    ids = [*range(3, 40), *range(41, 43), 60, *range(64, 80)]
+    rows = spark.createDataFrame([("b", i, str(i)) for i in ids] + [("c", 5, "5"), (None, 6, "6"), ("c", 6, None)], "k string, id bigint, text string")
+    got = {(r.k, r.node_id, r.n, r.text) for r in R.contiguous_runs(rows, "k", "id", "text").collect()}
+    runs = [range(3, 40), range(41, 43), range(60, 61), range(64, 80)]
+    assert got == {("b", r[-1], len(r), " ".join(map(str, r))) for r in runs} | {("c", 6, 2, "5")}
+
+
 def test_claims(spark):
     rows = spark.createDataFrame([("yes", "yes"), ("Yes ", "no"), ("no", "no"), ("no", "maybe")], "g string, p string")
     r = R.claim_confusion(rows, F.col("g"), F.col("p")).first()
