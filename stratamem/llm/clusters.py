@@ -83,21 +83,22 @@ def groups_in(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.n
     n = len(x)
     label, degree, unsure = np.arange(n), np.zeros(n, dtype=np.int64), [np.zeros((2, 0), dtype=np.int64)]
     for i in range(0, n, 512):
-        scores = x[i : i + 512] @ x.T
-        near = scores >= least + DOUBT
-        at = np.arange(len(near))
-        near[at, at + i] = False
-        degree[i : i + 512] = near.sum(axis=1)
-        some = np.flatnonzero(degree[i : i + 512])
-        label = settle(label, some + i, near[some].argmax(axis=1))  # all of a dense group at once
-        near[:, : i + 1] = False
-        near &= label[i : i + 512, None] != label[None, :]
+        scores = x[i : i + 512] @ x[i:].T  # each pair once
+        m = len(scores)
+        near, maybe = scores >= least + DOUBT, scores >= least - DOUBT
+        at = np.arange(m)
+        near[at, at] = maybe[at, at] = False
+        degree[i : i + m] += near.sum(axis=1)
+        degree[i + m :] += near[:, m:].sum(axis=0)
+        some = np.flatnonzero(near.any(axis=1))
+        label = settle(label, some + i, near[some].argmax(axis=1) + i)  # most of a dense group at once
+        doubt = maybe & ~near
+        near &= label[i : i + m, None] != label[None, i:]
         a, b = np.nonzero(near)
-        label = settle(label, a + i, b)
-        doubt = np.abs(scores - least) < DOUBT
+        label = settle(label, a + i, b + i)
         if doubt.any():
             a, b = np.nonzero(doubt)
-            unsure.append(np.stack([a + i, b])[:, a + i < b])
+            unsure.append(np.stack([a, b])[:, a < b] + i)
     a, b = np.concatenate(unsure, axis=1)
     open_ = label[a] != label[b]
     return label, degree, a[open_], b[open_]
@@ -109,7 +110,8 @@ def groups_across(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarra
     label, degree, unsure = np.arange(n + len(y)), np.zeros(n + len(y), dtype=np.int64), [np.zeros((2, 0), dtype=np.int64)]
     for i in range(0, n, 512):
         scores = x[i : i + 512] @ y.T
-        near = scores >= least + DOUBT
+        near, maybe = scores >= least + DOUBT, scores >= least - DOUBT
+        doubt = maybe & ~near
         degree[i : i + len(near)] = near.sum(axis=1)
         degree[n:] += near.sum(axis=0)
         some = np.flatnonzero(degree[i : i + len(near)])
@@ -117,7 +119,6 @@ def groups_across(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarra
         near &= label[i : i + len(near), None] != label[None, n:]
         a, b = np.nonzero(near)
         label = settle(label, a + i, b + n)
-        doubt = np.abs(scores - least) < DOUBT
         if doubt.any():
             a, b = np.nonzero(doubt)
             unsure.append(np.stack([a + i, b + n]))
