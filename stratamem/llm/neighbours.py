@@ -86,10 +86,13 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours_in_windows(k: int, dim: int):
-    def pairs(scores: np.ndarray, x: np.ndarray, xid: np.ndarray, y: np.ndarray, yid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(x: np.ndarray, xid: np.ndarray, y: np.ndarray, yid: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = [], []
-        for i in range(0, len(x), 512):
-            r, c = best(np.ascontiguousarray(scores[i : i + 512]), k)
+        for i in range(0, len(x), 128):  # scores of so many rows stay in the cache
+            scores = x[i : i + 128] @ y.T
+            if same:
+                np.fill_diagonal(scores[:, i:], -2)
+            r, c = best(scores, k)
             a.append(r + i)
             b.append(c)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -106,12 +109,9 @@ def neighbours_in_windows(k: int, dim: int):
         place, held, tail = None, [], None
 
         def flush(x: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-            scores = x @ x.T  # half the work of a product of two matrices
-            np.fill_diagonal(scores, -2)
-            found = [pairs(scores, x, ids, x, ids)]
+            found = [pairs(x, ids, x, ids, same=True)]
             if tail is not None:
-                scores = x @ tail[0].T  # one product for both directions
-                found += [pairs(scores, x, ids, *tail), pairs(scores.T, *tail, x, ids)]
+                found += [pairs(x, ids, *tail), pairs(*tail, x, ids)]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "other", "score"])
 
         def windows(last: bool):
