@@ -22,25 +22,22 @@ from stratamem.storage import latest, materialize
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The published pattern of this vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Hard limit on a rate's exponent, so that an extreme tilt stays finite.
 STEEP = 60.0
 
 
 def count_tokens(texts: DataFrame, key: str, text: str, keep: tuple[str, ...], folder: str = TOKENIZERS) -> DataFrame:
-    """``(key, *keep, n_tokens)`` by a public byte-pair vocabulary; whole texts, one encoder per worker."""
+    """``(key, *keep, n_tokens)`` by a public byte-pair vocabulary, sent along from the driver; whole texts."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sys
+    with open(f"{folder}/{VOCABULARY}", "rb") as f:
+        shared = texts.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, about a megabyte
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(f"{folder}/{VOCABULARY}", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        sys.path.append(str(folder).rpartition("/")[0])
-        try:
-            from public_tokenizers import PATTERN
-        except ImportError:  # the published pattern of this vocabulary
-            PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoder = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for frame in frames:
             frame["n_tokens"] = [len(encoder.encode_ordinary(t)) for t in frame.pop(text)]
