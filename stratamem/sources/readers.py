@@ -24,6 +24,14 @@ def stem() -> F.Column:
     return F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "")
 
 
+def listed(spark: SparkSession, path: str, suffix: str, sample: int | None = None, seed: int = 7) -> DataFrame:
+    """``(name)`` of the files with a suffix, in order; with ``sample`` so many that the same seed always draws. Contents are not read."""
+    names = spark.read.format("binaryFile").load(path).select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("name")).where(F.col("name").endswith(suffix))
+    if sample is not None:
+        names = names.orderBy(F.md5(F.concat("name", F.lit(f"-{seed}"))), "name").limit(sample)
+    return names.orderBy("name")
+
+
 def books(spark: SparkSession, path: str) -> DataFrame:
     """``(book_id, text)``, one whole file a row."""
     return spark.read.text(path, wholetext=True).select(F.url_decode(stem()).alias("book_id"), F.col("value").alias("text"))

@@ -24,7 +24,7 @@ def rows_of(nodes, name):
 def test_books_are_built_apart_in_one_job(spark):
     setting = Building(threshold=0.5, weight=0.8, sigma=0.5, max_cluster_size=5, max_hierarchy_level=2, rounds=3)
     a, b = book("a", 6, 6, 1), book("b", 2, 9, 2)
-    odd = [("c", 0, None, [1.0] * 8), ("d", 0, "no vector", None), ("d", 1, "short", [1.0])]
+    odd = [("c", 0, None, [1.0] * 8), ("d", 0, "no vector", None), ("d", 1, "short", [1.0]), (None, 3, "no book", [1.0] * 8)]
     nodes, edges, stats = M.build(spark.createDataFrame(a + b + odd, CHUNKS), setting)
     for name, rows in (("a", a),):
         alone, alone_edges, _ = M.build(spark.createDataFrame(rows, CHUNKS), setting)
@@ -41,6 +41,7 @@ def test_books_are_built_apart_in_one_job(spark):
     assert rows_of(nodes, "c") == [(0, 0, None, ())] and len(rows_of(nodes, "d")) == 2
     s = {(r.book_id, r.level): r for r in stats.collect()}
     assert s["a", 0].nodes == 36 and s["a", 1].offset == 36
+    assert {r.book_id for r in nodes.select("book_id").distinct().collect()} == {"a", "b", "c", "d"}
     assert M.build(spark.createDataFrame([], CHUNKS), setting)[0].count() == 0
 
 

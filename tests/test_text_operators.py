@@ -231,6 +231,9 @@ def test_readers_and_sinks(spark, tmp_path):
     nodes, edges = readers.gexf(spark, str(tmp_path / "g"))
     got = {r.id: r for r in nodes.withColumn("ids", readers.id_list(F.col("attributes")["community"])).collect()}
     assert got[3].attributes["text"] == "hi" and got[3].ids == [1, 2] and got[4].ids is None and tuple(edges.first()) == (3, 4, 0.5)
+    assert [r.name for r in readers.listed(spark, str(tmp_path / "j"), ".json").collect()] == ["array.json", "lines.json", "one.json", "torn.json"]
+    drawn = [r.name for r in readers.listed(spark, str(tmp_path / "j"), ".json", sample=2).collect()]
+    assert len(drawn) == 2 and drawn == [r.name for r in readers.listed(spark, str(tmp_path / "j"), ".json", sample=2).collect()]
     df = spark.createDataFrame([(1, 0.5)], "id bigint, v double")
     out = str(tmp_path / "t")
     sinks.append_missing(df, out, "id")
