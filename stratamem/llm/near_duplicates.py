@@ -228,9 +228,9 @@ def candidates(prints: DataFrame, least: float) -> DataFrame:
         if r.rows > TASK_ROWS:
             deal[r.shard] = -(-r.rows // (TASK_ROWS // 2))
     if deal:
-        parts = F.coalesce(F.create_map(*[F.lit(v) for kv in deal.items() for v in kv])[F.col("shard")], F.lit(1))
+        dealt = spark.createDataFrame([(int(k), v) for k, v in deal.items()], "shard int, parts int")
         own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        spread = placed.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        spread = placed.join(dealt, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         keyed = spread.select("shard", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "bits")
     else:
         keyed = placed.select("shard", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "id", "n", "bits")
