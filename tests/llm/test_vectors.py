@@ -1,4 +1,7 @@
+import contextlib
 import datetime
+import pathlib
+import threading
 
 import numpy as np
 import pytest
@@ -166,3 +169,37 @@ def test_a_group_of_many_medoids_ends_in_clusters_of_similar_vectors(spark, monk
             open_ -= {j for j in open_ if near[i, j]}
     assert len(want) > 41 and {r.medoid: r["size"] for r in got} == want
     assert min(r.mean_cosine for r in got) >= 0.8
+
+
+def test_bands_are_taken_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BUCKET", 64)
+    monkeypatch.setattr(clusters, "ROUND_ROWS", 0, raising=False)
+    x = random_vectors(3000, seed=3, centres=40, noise=0.3)
+    x[1500:2400] = x[1500] / np.linalg.norm(x[1500]) * 8 + 0.3 * np.random.default_rng(4).standard_normal((900, 64))  # overfull buckets
+    units = both(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    dirs = [pathlib.Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        total = 0
+        for d in dirs:
+            for f in d.rglob("shuffle_*.data"):
+                with contextlib.suppress(FileNotFoundError):
+                    total += f.stat().st_size
+        return total
+
+    before, most, done = shuffled(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            most.append(shuffled() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {(r.first_id, r.member_id) for r in clusters.similarity_groups(units).where("level = 0").collect()}
+    finally:
+        done.set()
+        watcher.join()
+    label = truth(x, 0.8)
+    assert got == {(int(f), i) for i, f in enumerate(label) if f != i}
+    assert max(most) < 8 * x.shape[0] * 64 * 4
