@@ -23,7 +23,8 @@ import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
+from itertools import filterfalse
 from urllib.parse import unquote
 
 import numpy as np
@@ -65,6 +66,8 @@ ROUNDS, DOCUMENT_ROUNDS, DOCUMENT_PRIOR = 3, 6, 3.0
 SCORED: dict[str, tuple] = {}
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 LOST = "�"
+#: What ``str.translate`` leaves as it is; to find a character is quicker than to miss it.
+ASCII = {i: i for i in range(128)}
 
 
 @cache
@@ -121,7 +124,7 @@ def inverse(kind: int) -> Callable[[str], str]:
                 return match.group()
 
         return lambda t: pair.sub(two, t)
-    table = {}
+    table = dict(ASCII)
     for c, b in byte.items():
         try:
             table[ord(c)] = bytes([b]).decode(true)
@@ -133,13 +136,14 @@ def inverse(kind: int) -> Callable[[str], str]:
 def restored(token: str, kind: int) -> str:
     """Undo a swap as often as it was made."""
     undo = inverse(kind)
-    if kind > len(UTF8_READ_AS):
-        return undo(token)
-    seen = set()
-    while token not in seen:
-        seen.add(token)
-        token = undo(token)
-    return token
+    out = undo(token)
+    if kind > len(UTF8_READ_AS) or out == token:
+        return out
+    seen = {token}
+    while out not in seen:
+        seen.add(out)
+        out = undo(out)
+    return out
 
 
 def unescaped(token: str) -> str:
@@ -161,11 +165,22 @@ def unescaped(token: str) -> str:
 
 def tokens(text: str) -> Iterator[str]:
     """Tokens with a character beyond ASCII, once escapes are resolved. Only ASCII blanks part tokens: others may be part of a symbol."""
-    for token in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-        if not token.isascii() or "&" in token or "\\" in token or "%" in token:
-            out = unescaped(token)
-            if not out.isascii():
-                yield out
+    parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    if "&" in text or "\\" in text or "%" in text:
+        parts = [unescaped(t) if "&" in t or "\\" in t or "%" in t else t for t in parts]
+    return filterfalse(str.isascii, parts)
+
+
+class Pairs(dict):
+    """A number for each pair of characters, reckoned when first asked for."""
+
+    def __init__(self, reckon: Callable[[tuple[str, str]], float]):
+        super().__init__()
+        self.reckon = reckon
+
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        out = self[pair] = self.reckon(pair)
+        return out
 
 
 class Language:
@@ -179,26 +194,24 @@ class Language:
             self.single[b] += n
         self.total = sum(self.single.values()) + 1e6
         self.bigrams = bigrams
-        self.known: dict[tuple[str, str], float] = {}
+        self.known = Pairs(self.step)
+        self.rises = Pairs(lambda pair: pair[0].islower() and pair[1].isupper())
 
     def step(self, pair: tuple[str, str]) -> float:
-        p = self.known.get(pair)
-        if p is None:
-            a, b = pair
-            back = (self.single.get(b, 0.0) + 0.02) / self.total
-            p = self.known[pair] = math.log((self.bigrams.get(pair, 0.0) + 2 * back) / (self.first.get(a, 0.0) + 2))
-        return p
+        a, b = pair
+        back = (self.single.get(b, 0.0) + 0.02) / self.total
+        return math.log((self.bigrams.get(pair, 0.0) + 2 * back) / (self.first.get(a, 0.0) + 2))
 
     def score(self, token: str) -> float:
         folded = token.lower()
-        known, step = self.known, self.step
-        out = sum([known[p] if p in known else step(p) for p in zip("\x02" + folded, folded + "\x03", strict=True)])
-        if folded != token and not token.isupper():
-            out -= 3.0 * sum(1 for a, b in zip(token, token[1:], strict=False) if a.islower() and b.isupper())
+        out = sum(map(self.known.__getitem__, zip("\x02" + folded, folded + "\x03", strict=True)))
+        if folded != token and not token[1:].islower() and not token.isupper():
+            out -= 3.0 * sum(map(self.rises.__getitem__, zip(token, token[1:], strict=False)))
         return out
 
 
 PAIR = re.compile("[^\x00-\x7f]{2}")
+BEYOND = re.compile("[^\x00-\x7f]")
 
 
 @cache
@@ -214,27 +227,48 @@ def kinds_of(character: str) -> int:
     return mask
 
 
+@lru_cache(4096)
+def kinds_among(mask: int, paired: bool) -> tuple[int, ...]:
+    """The swaps of a mask; those that make two characters of one only if there are two in a row."""
+    return tuple(k for k in range(1, LEARNED) if mask >> k & 1 and (paired or k >= len(UTF8_READ_AS)))
+
+
+@cache
+def one_by_one(character: str) -> tuple[tuple[int, str | None], ...]:
+    """What each swap that may have made a character puts in its place where no other stands beside it; None for that by GBK, which may take the next character along."""
+    return tuple((k, None if k == len(UTF8_READ_AS) else restored(character, k)) for k in kinds_among(kinds_of(character), False))
+
+
 def candidates(token: str) -> list[tuple[int, str]]:
     """The token as it is, and as each swap that changes it would have found it."""
     out = [(0, token)]
-    mask = 0
-    for c in set(token):
-        if not c.isascii():
-            mask |= kinds_of(c)
+    beyond = set(BEYOND.findall(token))
     paired = PAIR.search(token) is not None
-    for kind in range(1, LEARNED):
-        if mask >> kind & 1 and (paired or kind >= len(UTF8_READ_AS)):
-            letters = restored(token, kind)
+    if len(beyond) == 1 and not paired:  # many: what the one letter becomes is known without the token
+        (c,) = beyond
+        for kind, letter in one_by_one(c):
+            letters = restored(token, kind) if letter is None else token.replace(c, letter)
             if letters != token:
                 out.append((kind, letters))
+        return out
+    mask = 0
+    for c in beyond:
+        mask |= kinds_of(c)
+    for kind in kinds_among(mask, paired):
+        letters = restored(token, kind)
+        if letters != token:
+            out.append((kind, letters))
     return out
 
 
 def scored(token: str, model: Language) -> list[tuple[int, str, float]]:
-    """The candidates with their scores; those with a character that the language does not know are left out."""
+    """The candidates with their scores; those with a character that the language does not know are left out. A token that has no others is not scored."""
     scores: dict[str, float] = {}
     out = []
-    for kind, letters in candidates(token):
+    every = candidates(token)
+    if len(every) == 1:
+        return [(0, token, 0.0)]
+    for kind, letters in every:
         if letters not in scores:
             if kind and not model.single.keys() >= set(letters.lower()):
                 continue
@@ -248,7 +282,7 @@ class Cipher:
 
     def __init__(self, table: dict[str, str]):
         self.table = table
-        self.single = str.maketrans({k: v for k, v in table.items() if len(k) == 1})
+        self.single = ASCII | str.maketrans({k: v for k, v in table.items() if len(k) == 1})
         several = sorted((k for k in table if len(k) > 1), key=lambda k: (-len(k), k))
         self.several = re.compile("|".join(map(re.escape, several))) if several else None
 
@@ -263,6 +297,8 @@ def with_learned(options: list[tuple[int, str, float]], token: str, cipher: Ciph
     letters = cipher(token) if cipher is not None else token
     if any(letters == t for _, t, _ in options):
         return options
+    if len(options) == 1:
+        options = [(0, token, model.score(token))]
     return [*options, (LEARNED, letters, model.score(letters))]
 
 
@@ -396,21 +432,35 @@ class Tables:
         return {s: Cipher(t) for s, t in self.letter.items()}
 
 
-def weighed(options: list[tuple[int, str, float]], rates: dict[int, float]) -> list[tuple[int, str, float]]:
+def logs_of(rates: dict[int, float]) -> list[float]:
+    """Log rate of each swap, by its number; 0 of none."""
+    return [0.0, *(math.log(rates.get(k, PRIOR)) for k in range(1, len(NAMES)))]
+
+
+def odds_of(options: list[tuple[int, str, float]], logs: list[float]) -> list[float]:
+    """Odds of each candidate of a token against the likeliest."""
+    sums = [x + logs[k] for k, _, x in options]
+    most = max(sums)
+    return [math.exp(x - most) for x in sums]
+
+
+def weighed(options: list[tuple[int, str, float]], logs: list[float]) -> list[tuple[int, str, float]]:
     """Posterior of each candidate of a token."""
-    logs = [x + (math.log(rates.get(k, PRIOR)) if k else 0.0) for k, _, x in options]
-    most = max(logs)
-    odds = [math.exp(x - most) for x in logs]
+    odds = odds_of(options, logs)
     total = sum(odds)
     return [(k, t, x / total) for (k, t, _), x in zip(options, odds, strict=True)]
 
 
+def add_bigrams(to: dict[tuple[str, str], float], token: str, n: float) -> None:
+    folded = token.lower()
+    for pair in zip("\x02" + folded, folded + "\x03", strict=True):
+        to[pair] = to.get(pair, 0.0) + n
+
+
 def bigrams_of(rows: Iterator[tuple[str, float]]) -> dict[tuple[str, str], float]:
     out: dict[tuple[str, str], float] = {}
     for token, n in rows:
-        folded = token.lower()
-        for pair in zip("\x02" + folded, folded + "\x03", strict=True):
-            out[pair] = out.get(pair, 0.0) + n
+        add_bigrams(out, token, n)
     return out
 
 
@@ -443,8 +493,7 @@ def learn(vocabulary: DataFrame, tables: Tables) -> tuple[dict, dict[str, dict[i
                 if letters != token:
                     sure = min((v for k, v in shares[source].items() if k in token), default=0.0)
                     for text, weight in ((letters, n * sure), (token, -n * sure)):
-                        for pair, v in bigrams_of([(text, weight)]).items():
-                            moved[pair] = moved.get(pair, 0.0) + v
+                        add_bigrams(moved, text, weight)
             yield pd.DataFrame([(w, a, b, float(n)) for w, c in (("raw", raw), ("moved", moved)) for (a, b), n in c.items()], columns=["what", "a", "b", "n"])
 
     counted = materialize(vocabulary.mapInPandas(plain, "what string, a string, b string, n double").groupBy("what", "a", "b").agg(F.sum("n").alias("n")), "bigrams")
@@ -460,7 +509,7 @@ def learn(vocabulary: DataFrame, tables: Tables) -> tuple[dict, dict[str, dict[i
 
         def expect(frames: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             grams, by_source = state.value
-            model = Language(grams)
+            model, logs, unknown = Language(grams), {s: logs_of(r) for s, r in by_source.items()}, logs_of({})
             last, base = None, []
             cipher = own.value.ciphers()
             for f in frames:
@@ -472,13 +521,12 @@ def learn(vocabulary: DataFrame, tables: Tables) -> tuple[dict, dict[str, dict[i
                     if token != last:
                         last, base = token, scored(token, model)
                     options = with_learned(base, token, cipher.get(source), model)
-                    for kind, letters, p in weighed(options, by_source.get(source, {})) if len(options) > 1 else []:
+                    for kind, letters, p in weighed(options, logs.get(source, unknown)) if len(options) > 1 else []:
                         if p > 1e-6:
                             use[source, kind] += p * n
                             if kind:
                                 for text, weight in ((letters, n * p), (token, -n * p)):
-                                    for pair, v in bigrams_of([(text, weight)]).items():
-                                        change[pair] = change.get(pair, 0.0) + v
+                                    add_bigrams(change, text, weight)
                 rows = [("bigram", a, b, 0, n) for (a, b), n in change.items() if n] + [("use", s, "", k, n) for (s, k), n in use.items()]
                 yield pd.DataFrame(rows, columns=["what", "a", "b", "kind", "n"])
 
@@ -525,8 +573,8 @@ def repaired(documents: DataFrame) -> DataFrame:
 
         if run_id not in kept:
             kept.clear()
-            kept[run_id] = (Language(grams), {}, defaultdict(dict), own.ciphers())
-        model, known, doubts, cipher = kept[run_id]
+            kept[run_id] = (Language(grams), {}, defaultdict(dict), own.ciphers(), {s: logs_of(r) for s, r in by_source.items()}, logs_of({}))
+        model, known, doubts, cipher, logs, unknown = kept[run_id]
 
         def options_of(source: str, token: str) -> list[tuple[int, str, float]]:
             options = known.get(token)
@@ -538,7 +586,7 @@ def repaired(documents: DataFrame) -> DataFrame:
 
         def verdicts(source: str, use: Counter) -> dict[str, tuple[set[int], str]]:
             """The garbled ones of a document's tokens; its own rates start from those of its source."""
-            base = by_source.get(source, {})
+            base, at = by_source.get(source, {}), logs.get(source, unknown)
             first = doubts[source]
             doubt = 0.0
             for token, n in use.items():
@@ -547,24 +595,28 @@ def repaired(documents: DataFrame) -> DataFrame:
                     if len(first) > 300_000:
                         first.clear()
                     options = options_of(source, token)
-                    p = first[token] = sum(p for k, _, p in weighed(options, base) if k) if len(options) > 1 else 0.0
-                doubt += p * n
+                    p = first[token] = sum(p for k, _, p in weighed(options, at) if k) if len(options) > 1 else 0.0
+                if p:
+                    doubt += p * n
             if doubt < 0.005:
                 return {}
             open_ = [(t, n, options) for t, n in use.items() if len(options := options_of(source, t)) > 1]
-            rates = base
+            could: Counter = Counter()
+            for _, n, options in open_:
+                for kind, _, _ in options:
+                    could[kind] += n
+            del could[0]
             for _ in range(DOCUMENT_ROUNDS):
-                made: Counter = Counter()
-                could: Counter = Counter()
+                made = [0.0] * len(NAMES)
                 for _, n, options in open_:
-                    for kind, _, p in weighed(options, rates):
-                        if kind:
-                            made[kind] += p * n
-                            could[kind] += n
-                rates = {k: (DOCUMENT_PRIOR * base.get(k, PRIOR) + made[k]) / (DOCUMENT_PRIOR + could[k]) for k in could}
+                    odds = odds_of(options, at)
+                    total = sum(odds)
+                    for (kind, _, _), x in zip(options, odds, strict=True):
+                        made[kind] += x / total * n
+                at = logs_of({k: (DOCUMENT_PRIOR * base.get(k, PRIOR) + made[k]) / (DOCUMENT_PRIOR + c) for k, c in could.items()})
             out = {}
             for token, _, options in open_:
-                posterior = weighed(options, rates)
+                posterior = weighed(options, at)
                 # several swaps may give the same letters
                 sums: Counter = Counter()
                 for _, letters, p in posterior:
@@ -611,11 +663,11 @@ def symbol_letters(documents: DataFrame) -> DataFrame:
 
     def letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, by_source = shared.value
-        model = Language(grams)
+        model, logs, unknown = Language(grams), {s: logs_of(r) for s, r in by_source.items()}, logs_of({})
         for f in frames:
             use: Counter = Counter()
             for source, token, n in zip(f.source, f.token, f.n, strict=True):
-                for kind, text, p in weighed(scored(token, model), by_source.get(source, {})):
+                for kind, text, p in weighed(scored(token, model), logs.get(source, unknown)):
                     if kind and p > 0.01:
                         true, read_as = ("utf-8", UTF8_READ_AS[kind - 1]) if kind <= len(UTF8_READ_AS) else SWAPS[kind - 1 - len(UTF8_READ_AS)]
                         for c in set(text):

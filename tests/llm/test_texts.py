@@ -180,6 +180,18 @@ def test_layers_and_escapes_are_undone_as_often_as_they_were_made():
     assert encodings.unescaped(escaped) == "ü"
 
 
+def test_what_a_letter_becomes_is_worked_out_once(monkeypatch):
+    every = lambda t: [(0, t), *((k, u) for k in range(1, encodings.LEARNED) if (u := encodings.restored(t, k)) != t)]
+    for token in ("für", "naïve,", "дом", "ÃŸ", "fÃ¼r", "x→y", "清晨", "é&é", "Σ"):
+        assert encodings.candidates(token) == every(token), token
+    calls = []
+    undo = encodings.restored
+    monkeypatch.setattr(encodings, "restored", lambda t, k: calls.append(k) or undo(t, k))
+    assert len(encodings.candidates("Tür")) > 5
+    assert len(calls) <= 1  # by GBK, where the next character counts
+    assert list(encodings.tokens("a ü\tb\n&uuml; 50% \\u00fc\r&amp; x")) == ["ü"] * 3
+
+
 def test_garbled_documents_are_found_and_put_right(spark):
     r = random.Random(3)
     sentence = lambda: " ".join(r.sample(CLEAN.split(), 12))
