@@ -180,6 +180,36 @@ def test_the_graph_of_a_document(spark):
     assert text == "Entities:\nb, bee\n\nRelationships:\na, b, 0.4\nb, c, 0.6"
 
 
+def test_edges_of_communities_are_summed_where_they_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    held = {(d, k // 2, k): set(rng.choice(12, rng.integers(1, 4), False).tolist()) for d, n in (("big", 40), ("a", 3), ("b", 5)) for k in range(n) if k % 7}
+    links = {(d, s, t): float(rng.integers(0, 11)) / 10 for d in ("big", "a", "b") for s in range(12) for t in range(s, 12) if rng.random() < 0.3}
+    alone = {(d, c) for d, c in {k[:2] for k in held} if sum(k[:2] == (d, c) for k in held) == 1}
+    want = {}
+    for d, _, x in held:
+        for e, c, y in held:
+            if d == e and x < y:
+                a, b = (next(v for k, v in held.items() if k[0] == d and k[2] == z) for z in (x, y))
+                w = [v for (f, s, t), v in links.items() if f == d and s != t for p, q in ((s, t), (t, s)) if p in a and q in b]
+                if w and sum(w) > 0 and (d, c) not in alone:
+                    want[d, x, y] = round(sum(w) / len(w), 6)
+                elif a & b:
+                    want[d, x, y] = 1.0
+    members = spark.createDataFrame([(d, c, k, f"n{e}") for (d, c, k), es in held.items() for e in es], "doc_id string, chunk_id bigint, community bigint, entity string")
+    edges = spark.createDataFrame([(d, f"n{s}", f"n{t}", w) for (d, s, t), w in links.items()] + [("big", "n1", "n2", None)], "doc_id string, source string, target string, strength double")
+    monkeypatch.setattr(K, "COMMUNITIES", 8)  # the large document is several tasks
+    got = K.community_edges(members, edges)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]  # no pair is shuffled
+    assert {(r.doc_id, r.u, r.v): round(r.weight, 6) for r in got.collect()} == want
+    rows = (np.array([0, 0, 1, 2]), np.array([0, 1, 1, 1]), np.array([0.5, 0.25, 0.25, 1.0]), np.ones(4), np.array([0, 2, 4, 5]), 3)
+    whole = [p.tolist() for p in next(K.meetings(*rows))]
+    monkeypatch.setattr(K, "PAIRS", 1)
+    parts = [np.concatenate(p).tolist() for p in zip(*K.meetings(*rows), strict=True)]
+    assert whole == parts == [[0, 0, 1], [1, 2, 2], [0.25, 0.75, 0.25], [1.0, 2.0, 1.0]]
+    assert K.half_up(np.array([0.0000005, 0.1234565, 1 / 3])).tolist() == [0.000001, 0.123457, 0.333333]
+    assert K.community_edges(members.limit(0), edges).isEmpty()
+
+
 def test_names_that_differ_at_the_front_are_linked(spark):
     names = ["northern harbour archive", "enorthern harbour archive", "quay", "Northern harbour archive"]
     rows = spark.createDataFrame([("d", n, i, ["entity"]) for i, n in enumerate(names)], "doc_id string, name string, chunk_id bigint, types array<string>")
