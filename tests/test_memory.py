@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stratamem.config import ANSWERS, CHOICES, Building, Chunking, Exploring
 from stratamem.operators import explore as E
+from stratamem.operators import levels as L
 from stratamem.operators import memory as M
 from stratamem.operators import models
 
@@ -45,6 +46,35 @@ def test_books_are_built_apart_in_one_job(spark):
     assert M.build(spark.createDataFrame([], CHUNKS), setting)[0].count() == 0
 
 
+def test_a_level_in_the_task_of_its_book_equals_the_joins(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    links, nodes, first = [], [], 0
+    for name, n, share in (("a", 40, 0.3), ("b", 90, 0.05), ("c", 5, 0.0), ("d", 2, 1.0), ("e", 400, 0.006)):
+        nodes += [(first + i, name) for i in range(n)]
+        links += [(name, first + i, first + j, 1.0) for j in range(n) for i in range(j) if rng.random() < share]
+        first += n
+    links += [("a", 3, 3, 1.0), ("a", links[0][2], links[0][1], 1.0)]
+    links, nodes = spark.createDataFrame(links, "book_id string, u bigint, v bigint, weight double"), spark.createDataFrame(nodes, "id bigint, book_id string")
+    for rounds, cap in ((8, 3), (2, 12), (8, None)):
+        setting, told = Building(rounds=rounds, max_cluster_size=cap), []
+        for dense, sparse, small in ((L.DENSE, L.SPARSE, L.SMALL), (L.DENSE, L.SPARSE, 50), (-1, -1, 50)):
+            for name, value in (("DENSE", dense), ("SPARSE", sparse), ("SMALL", small)):
+                monkeypatch.setattr(L, name, value)
+            told.append([sorted(tuple(r) for r in x.collect()) for x in L.next_level(links, nodes, setting)])
+        assert told[0] == told[1] == told[2] and told[0][0] and told[0][1]
+        monkeypatch.undo()
+    assert L.next_level(links.limit(0), nodes.where("book_id = 'c'"), Building()) is None
+
+
+def test_a_dense_book_makes_no_triangles():
+    n = 300  # a clique has 44,850 edges and 4.5 million triangles
+    pairs = np.array([(i, j) for j in range(n) for i in range(j)])
+    ends, first = L.adjacent(n, pairs[:, 0], pairs[:, 1])
+    own, other, node = L.split(n, ends, first)
+    assert len(node) == n and (own == np.repeat(np.arange(n), n - 1)).all() and (other == ends).all()
+    assert L.propagated(own, other, n, first, 8)[0][0] == n - 1
+
+
 def test_statements_inherit_from_their_chunk(spark):
     chunks = spark.createDataFrame([("b", 1, "One is. Two is.", ["x"]), ("b", 2, "", None), ("b", 5, "Three.", ["y"])], "book_id string, chunk_id bigint, text string, entities array<string>")
     got = M.statement_nodes(chunks, models.statements(chunks, "chunk_id", "text")).orderBy("at").collect()
