@@ -7,6 +7,7 @@ from stratamem.operators import explore as E
 from stratamem.operators import levels as L
 from stratamem.operators import memory as M
 from stratamem.operators import models
+from stratamem.operators import similarity as S
 
 CHUNKS = "book_id string, at bigint, text string, vec array<float>"
 
@@ -75,6 +76,34 @@ def test_a_dense_book_makes_no_triangles():
     assert L.propagated(own, other, n, first, 8)[0][0] == n - 1
 
 
+@pytest.mark.parametrize(("weight", "gamma", "masked"), [(0.6, 0.45, False), (0.6, 0.45, True), (0.5, 0.0, False)])
+def test_only_the_best_of_each_pair_of_blocks_are_told(spark, monkeypatch, weight, gamma, masked):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(S, "BOOK_BLOCK", 40)  # the large book is four blocks, the small ones share a task
+    x = np.repeat(rng.standard_normal((40, 6)), 5, axis=0).astype(np.float32)  # copies, so that ties go by id
+    x[::2] += 0.2 * rng.standard_normal((100, 6)).astype(np.float32)
+    x[7] = np.nan
+    x[8] = 0
+    sizes = {"big": 150, "s": 4, "t": 3, "u": 43}
+    book = [b for b, n in sizes.items() for _ in range(n)]
+    at = rng.permutation(200)
+    doc = [None if i % 5 == 0 else f"d{i % 3}" for i in range(200)]
+    rows = [(book[i], i, int(at[i]), x[i].tolist(), doc[i]) for i in range(200)] + [("s", 200, 9, None, "d1"), ("big", 201, 9, [1.0], "d1")]
+    nodes = spark.createDataFrame(rows, "book_id string, id bigint, at bigint, vec array<float>, doc_id string")
+    v = np.where(np.isfinite(x), x, 0).astype(float)
+    v /= np.maximum(np.sqrt((v * v).sum(1)), 1e-150)[:, None]
+    near = np.exp(-((at[:, None] - at[None, :]) ** 2) / 18.0) * (np.array([[a == b for b in doc] for a in doc]) if masked else 1)
+    sim = np.round(weight * np.maximum(0, v @ v.T) + (1 - weight) * near, 6)
+    want = set()
+    for i in range(200):
+        best = sorted((-sim[i, j], j) for j in range(200) if j != i and book[j] == book[i] and sim[i, j] >= gamma)[:3]
+        want |= {(min(i, j), max(i, j), -s) for s, j in best}
+    picks = S.picks_in_books(nodes, weight, 3.0, gamma, 3, masked).collect()
+    assert len({(r.i, r.j) for r in picks}) == len(picks) and len(picks) <= 200 * 3 * 2 * 4
+    got = S.picked_edges(spark.createDataFrame(picks), 3).collect()
+    assert {(r.u, r.v) for r in got} == {w[:2] for w in want} and np.allclose(sorted(r.weight for r in got), sorted(w[2] for w in want), atol=1e-6)
+
+
 def test_statements_inherit_from_their_chunk(spark):
     chunks = spark.createDataFrame([("b", 1, "One is. Two is.", ["x"]), ("b", 2, "", None), ("b", 5, "Three.", ["y"])], "book_id string, chunk_id bigint, text string, entities array<string>")
     got = M.statement_nodes(chunks, models.statements(chunks, "chunk_id", "text")).orderBy("at").collect()
